@@ -94,7 +94,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.array_sort(F.collect_list(item)).alias("_items"))
             .select(
                 F.concat_ws("-", "order_id", "user_id").alias("id"), "cause",
-                F.lit("live").alias("mode"), "ts",
+                F.lit("live").alias("mode"), "ts", "user_id",
                 F.struct(
                     F.col("order_id").alias("id"), "state", "previous_state",
                     F.struct(uuid_text(F.col("user_id")).alias("id")).alias("seller"),
