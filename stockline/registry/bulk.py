@@ -9,6 +9,7 @@ from stockline.operators import catalog as c
 from stockline.operators import products as p
 from stockline.plans import bulk
 from stockline.registry.views import with_views
+from stockline.session import cut
 
 QUERIES = {}
 
@@ -121,7 +122,8 @@ _CHUNKS = with_views("outcomes", """
 
 
 def _chunk_counts(spark, sf_dir):
-    return bulk.chunk_summary(p.chunk_index(outcomes(spark, sf_dir), size=100))
+    chunked = p.chunk_index(fx.export(spark, sf_dir), size=100)
+    return bulk.chunk_summary(bulk.classify_export(chunked, resolved(spark, sf_dir), fx.inventory(spark, sf_dir)))
 
 
 @query(_CHUNKS + "SELECT * FROM chunks")
@@ -140,7 +142,7 @@ def chunk_summary(spark, sf_dir):
            CAST(sum(u) OVER w AS BIGINT) AS updated, CAST(sum(s) OVER w AS BIGINT) AS skipped
     FROM batches JOIN totals USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY batch)""")
 def sync_progress(spark, sf_dir):
-    return bulk.sync_progress(_chunk_counts(spark, sf_dir))
+    return bulk.sync_progress(cut(_chunk_counts(spark, sf_dir), "chunks"))
 
 
 @query(with_views("export inventory", """
