@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from stockline.operators.scan import Running, numbered, running, time_slice
 from stockline.operators.telemetry import KEPT_THROTTLES, gap_sessions
@@ -28,6 +29,7 @@ STEPS_DOWN = 7
 
 _ORDER = ["ts", "request_id"]
 _ALWAYS = -(2 ** 62)
+_LONGS = ArrayType(LongType())
 
 
 # --- token bucket -----------------------------------------------------------------------------
@@ -68,13 +70,13 @@ def _bucket_starts(times: np.ndarray, free_at: int, window: int) -> np.ndarray:
     return np.array(starts)[np.searchsorted(starts, times, side="right") - 1]
 
 
-@F.pandas_udf("struct<upto: array<long>, after: array<long>>")
+@F.pandas_udf(StructType([StructField("upto", _LONGS), StructField("after", _LONGS)]))
 def _exits_udf(times: pd.Series, entry_limit: pd.Series, window: pd.Series) -> pd.DataFrame:
     pairs = [_slice_exits(np.asarray(t), e, w) for t, e, w in zip(times, entry_limit, window)]
     return pd.DataFrame({"upto": [u for u, _ in pairs], "after": [a for _, a in pairs]})
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(_LONGS)
 def _entries_udf(upto: pd.Series, after: pd.Series) -> pd.Series:
     """Walk each user's slices in order: when a new bucket may start, on entry to each slice."""
     walked = []
@@ -89,7 +91,7 @@ def _entries_udf(upto: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(walked)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(_LONGS)
 def _starts_udf(times: pd.Series, free_at: pd.Series, window: pd.Series) -> pd.Series:
     return pd.Series([_bucket_starts(np.asarray(t), f, w) for t, f, w in zip(times, free_at, window)])
 
@@ -148,7 +150,7 @@ def _walk_factor(at: np.ndarray, hit: np.ndarray, last_hit: np.ndarray) -> tuple
     return factors, changes
 
 
-@F.pandas_udf("struct<factor: array<double>, changed: array<long>>")
+@F.pandas_udf(StructType([StructField("factor", ArrayType(DoubleType())), StructField("changed", _LONGS)]))
 def _factor_udf(at: pd.Series, hit: pd.Series, last_hit: pd.Series) -> pd.DataFrame:
     pairs = [_walk_factor(*row) for row in zip(at, hit, last_hit)]
     return pd.DataFrame({"factor": [f for f, _ in pairs], "changed": [c for _, c in pairs]})
