@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-MODULES = ["bulk", "orders", "items", "service"]
+MODULES = ["bulk", "orders", "items", "service", "flows"]
 
 
 def _wall_clock(query):

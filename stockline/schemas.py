@@ -25,9 +25,10 @@ EXPORT = (
     "user_data_field string, graded boolean, properties_hash string, name_en string")
 
 ORDER_EVENT = (
-    "id string, cause string, mode string, user_id string, data struct<id: long, state: string, "
-    "previous_state: string, seller: struct<id: string>, "
-    "order_items: array<struct<product_id: string, quantity: int>>>")
+    "id string, cause string, mode string, data struct<id: long, state: string, previous_state: string, "
+    "seller: struct<id: string>, order_items: array<struct<product_id: string, quantity: int>>>")
+
+EVENT_ENVELOPE = "received_at timestamp, user_id string, signature string, body string"
 
 SERVICE_LOG = (
     "timestamp string, level string, logger string, message string, trace_id string, user_id string, "
