@@ -142,9 +142,7 @@ def full_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.max("l_linenumber")
     card = F.col("l_partkey")
-    return (table(spark, sf_dir, "lineitem")
-            .where((F.col("l_returnflag") == "A") & (card % 10 == 0))
-            .groupBy("l_suppkey", "l_partkey").agg(m.alias("m"))
+    return (table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(m.alias("m"))
             .select(_key().alias("item_id"), F.col("l_suppkey").alias("user_id"),
                     F.when(F.col("m") % 2 == 0, F.col("m") - 2).cast("int").alias("quantity"),
                     F.when(F.col("m") % 3 == 0, 500 + F.col("m")).cast("int").alias("price_cents"),
@@ -158,15 +156,15 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a purchase request; ids are unique per seller."""
     orders = table(spark, sf_dir, "orders")
+    request = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     return (table(spark, sf_dir, "lineitem")
-            .where((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "A"))
+            .groupBy("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+            .agg(F.sum("l_quantity").cast("int").alias("quantity"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_orderkey").alias("request_id"))
-            .agg(F.max(F.struct(_key().alias("item_id"), F.col("l_suppkey").alias("user_id"),
-                                F.col("l_quantity").cast("int").alias("quantity"),
-                                F.col("o_orderdate").cast("timestamp").alias("ts"))).alias("r"))
-            .select("request_id", "r.item_id", "r.user_id", "r.quantity", "r.ts"))
+            .select(request.alias("request_id"), F.col("l_orderkey").alias("order_id"), _key().alias("item_id"),
+                    F.col("l_suppkey").alias("user_id"), "quantity", F.col("o_orderdate").cast("timestamp").alias("ts")))
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:

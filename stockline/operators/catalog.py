@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from stockline.schemas import CATALOG_TABLES
 
 
-def catalog_union(tables: Mapping[str, DataFrame], needed: DataFrame | None = None) -> DataFrame:
+def catalog_union(tables: Mapping[str, DataFrame], needed: DataFrame | None = None,
+                  distinct: bool = True) -> DataFrame:
     """UNION of the catalog tables, tagged with table name and priority.
 
     ``needed`` (a ``blueprint_id`` column) keeps only the wanted ids; the semi join is pushed into
-    every branch.
+    every branch. ``resolve_catalog`` does not mind duplicates, so ``distinct=False`` saves it a
+    shuffle per table.
     """
     result = None
     for priority, name in enumerate(CATALOG_TABLES, start=1):
@@ -25,8 +27,9 @@ def catalog_union(tables: Mapping[str, DataFrame], needed: DataFrame | None = No
             F.col("blueprint_id"), F.lit(priority).alias("priority"))
         if needed is not None:
             tagged = tagged.join(needed.select("blueprint_id").distinct(), "blueprint_id", "left_semi")
-        # Tables carry different tags, so duplicates exist only inside one table.
-        tagged = tagged.distinct()
+        if distinct:
+            # Tables carry different tags, so duplicates exist only inside one table.
+            tagged = tagged.distinct()
         result = tagged if result is None else result.unionByName(tagged)
     return result
 

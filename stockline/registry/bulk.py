@@ -22,7 +22,7 @@ def query(sql=None):
 
 
 def resolved(spark, sf_dir, **options):
-    return c.resolve_catalog(c.catalog_union(fx.catalog_tables(spark, sf_dir)), **options)
+    return c.resolve_catalog(c.catalog_union(fx.catalog_tables(spark, sf_dir), distinct=False), **options)
 
 
 def outcomes(spark, sf_dir):

@@ -159,22 +159,30 @@ def validate_rows(spark, sf_dir):
     return bad.select("id", shown.alias("errors")).unionByName(good.select("id", F.lit("").alias("errors")))
 
 
+def _trim_sql(column):
+    return f"regexp_replace({column}, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
 def _basic_sql(column):
-    start = f"substr(regexp_replace({column}, '^\\s+|\\s+$', '', 'g'),1,2000)"
-    text = start
+    text = f"nullif({_trim_sql(column)},'')"
     for pattern in tx.BASIC_MARKUP:
         text = f"regexp_replace({text},'(?i){pattern}','','g')"
     return text
 
 
-@query(f"""
-    SELECT page_id, {_basic_sql('html')} AS html, {_basic_sql('url')} AS url FROM pages""")
+@query(f"SELECT doc_id, {_basic_sql('text')} AS text FROM documents")
 def scrub_text(spark, sf_dir):
+    return tx.clean_text_columns(fx.table(spark, sf_dir, "documents"), {"text": "scrub_text"}).select("doc_id", "text")
+
+
+@query(f"""
+    SELECT page_id, {_basic_sql('html')} AS html, url_encode(url) AS url FROM pages""")
+def clean_text_columns(spark, sf_dir):
     return tx.clean_text_columns(fx.table(spark, sf_dir, "pages"), {
-        "html": ("scrub_text", 2000), "url": ("scrub_text", 2000)}).select("page_id", "html", "url")
+        "html": "scrub_text", "url": "percent_encode"}).select("page_id", "html", "url")
 
 
-_MARKUP_SQL = "regexp_replace(html, '^\\s+|\\s+$', '', 'g')"
+_MARKUP_SQL = f"nullif({_trim_sql('html')},'')"
 for _pattern in (r"<script[^>]*>.*?</script>", "javascript:", r"on[\p{L}\p{N}_]+\s*=", "vbscript:", "data:text/html"):
     _MARKUP_SQL = f"regexp_replace({_MARKUP_SQL},'(?is){_pattern}','','g')"
 
@@ -332,14 +340,14 @@ def build_update_payload(spark, sf_dir):
 
 
 @query(with_views("inventory purchases", """
-    , wanted AS (SELECT DISTINCT item_id+request_id%2 AS item_id, user_id FROM purchases)
+    , wanted AS (SELECT DISTINCT item_id+order_id%2 AS item_id, user_id FROM purchases)
     SELECT id, user_id, 'kept' AS part FROM inventory i WHERE NOT EXISTS
         (SELECT 1 FROM wanted w WHERE w.item_id=i.id AND w.user_id=i.user_id)
     UNION ALL SELECT id, i.user_id, 'deleted' FROM inventory i JOIN wanted w ON w.item_id=i.id AND w.user_id=i.user_id
     UNION ALL SELECT item_id, user_id, 'missing' FROM wanted w WHERE NOT EXISTS
         (SELECT 1 FROM inventory i WHERE w.item_id=i.id AND w.user_id=i.user_id)"""))
 def delete_items(spark, sf_dir):
-    wanted = fx.purchases(spark, sf_dir).withColumn("item_id", F.col("item_id") + F.col("request_id") % 2)
+    wanted = fx.purchases(spark, sf_dir).withColumn("item_id", F.col("item_id") + F.col("order_id") % 2)
     kept, deleted, missing = ed.delete_items(fx.inventory(spark, sf_dir), wanted)
     parts = {"kept": kept, "deleted": deleted, "missing": missing}
     result = None
@@ -352,12 +360,12 @@ def delete_items(spark, sf_dir):
 @query(with_views("purchases requests", """
     , answers AS (SELECT request_id, status_code, CASE status_code WHEN 200 THEN 'ok' WHEN 500 THEN
         CASE WHEN request_id%3=0 THEN 'Not_Found' ELSE 'boom' END ELSE 'http' END AS message FROM requests)
-    SELECT p.request_id, item_id,
+    SELECT p.request_id, item_id, user_id,
            CASE WHEN status_code<400 OR status_code=404 OR message='Not_Found' THEN 'success' ELSE 'error' END AS status,
            coalesce(status_code=404 OR message='Not_Found',false) AS already_deleted,
            CASE WHEN status_code=404 OR message='Not_Found' THEN 'Product was already deleted' WHEN status_code<400 THEN 'ok'
                 ELSE 'Failed to delete product: '||coalesce(message,'') END AS message
-    FROM purchases p LEFT JOIN answers a ON p.request_id=a.request_id"""))
+    FROM purchases p LEFT JOIN answers a ON p.order_id=a.request_id"""))
 def delete_results(spark, sf_dir):
     number = F.col("request_id")
     code = F.col("status_code")
@@ -365,8 +373,10 @@ def delete_results(spark, sf_dir):
         "request_id", "status_code",
         F.when(code == 200, "ok").when(code == 500, F.when(number % 3 == 0, "Not_Found").otherwise("boom"))
         .otherwise("http").alias("message"))
-    return ed.delete_results(fx.purchases(spark, sf_dir).select("request_id", "item_id"), answers).select(
-        "request_id", "item_id", "status", "already_deleted", "message")
+    deletes = fx.purchases(spark, sf_dir).select(
+        F.col("request_id").alias("name"), "item_id", "user_id", F.col("order_id").alias("request_id"))
+    return ed.delete_results(deletes, answers).select(
+        F.col("name").alias("request_id"), "item_id", "user_id", "status", "already_deleted", "message")
 
 
 @query(with_views("inventory export", """
@@ -394,7 +404,7 @@ _BUSY = with_views("purchases full_inventory export", """
             FROM wanted w LEFT JOIN full_inventory i ON i.id=w.item_id AND i.user_id=w.user_id
             LEFT JOIN export e ON e.user_id=i.user_id AND CAST(e.id AS VARCHAR)=i.external_stock_id)
     , walk AS (
-        SELECT item_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS request_id, l0 AS before, l0 AS l, r0 AS r,
+        SELECT item_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS request_id, l0 AS before, l0 AS l, r0 AS r,
                CAST(NULL AS VARCHAR) AS error FROM q WHERE k=1
         UNION ALL
         SELECT q.item_id, q.k, q.request_id, w.l,

@@ -84,26 +84,24 @@ def latest_operation(spark, sf_dir):
 
 
 @query(with_views("operations", """
-    SELECT operation_id, user_id, status FROM operations WHERE operation_id%3<>0
-    UNION ALL SELECT operation_id, user_id, 'pending' FROM (SELECT l_orderkey AS operation_id, min(l_linenumber) AS user_id
-        FROM lineitem GROUP BY l_orderkey) WHERE operation_id NOT IN
-        (SELECT operation_id FROM operations WHERE operation_id%3<>0)"""))
+    SELECT operation_id, user_id, status FROM operations
+    UNION ALL SELECT operation_id, user_id, 'pending' FROM (SELECT l_orderkey*2 AS operation_id, min(l_linenumber) AS user_id
+        FROM lineitem GROUP BY l_orderkey) WHERE operation_id NOT IN (SELECT operation_id FROM operations)"""))
 def insert_operations(spark, sf_dir):
-    log = (fx.operations(spark, sf_dir).where(F.col("operation_id") % 3 != 0)
-           .select("operation_id", "user_id", "status", "created_at"))
+    log = fx.operations(spark, sf_dir).select("operation_id", "user_id", "status", "created_at")
     new = fx.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("operation_id"), F.col("l_linenumber").cast("long").alias("user_id"),
+        (F.col("l_orderkey") * 2).alias("operation_id"), F.col("l_linenumber").cast("long").alias("user_id"),
         F.lit("pending").alias("status"), F.timestamp_seconds("l_linenumber").alias("created_at"))
     return op.insert_operations(log, new).select("operation_id", "user_id", "status")
 
 
 @query(with_views("operations", """
-    SELECT operation_id, user_id, CASE WHEN operation_id%4=0 THEN 'completed' ELSE status END AS status,
-           CASE WHEN operation_id%4=0 THEN 100 ELSE progress_percent END AS progress_percent,
-           CASE WHEN operation_id%4=0 THEN created_at + INTERVAL 1 DAY END AS completed_at FROM operations"""))
+    SELECT operation_id, user_id, CASE WHEN status='pending' THEN 'completed' ELSE status END AS status,
+           CASE WHEN status='pending' THEN 100 ELSE progress_percent END AS progress_percent,
+           CASE WHEN status='pending' THEN created_at + INTERVAL 1 DAY END AS completed_at FROM operations"""))
 def complete_operations(spark, sf_dir):
     operations = fx.operations(spark, sf_dir)
-    results = operations.where(F.col("operation_id") % 4 == 0).select(
+    results = operations.where(F.col("status") == "pending").select(
         "operation_id", (F.col("created_at") + F.expr("interval 1 day")).alias("completed_at"),
         F.struct(F.lit(100).alias("progress_percent"), F.lit(1).alias("processed")).alias("operation_metadata"))
     return op.complete_operations(operations, results).select(
@@ -142,12 +140,12 @@ def status_report(spark, sf_dir):
            CASE WHEN c_custkey IS NULL THEN sync_status ELSE 'idle' END AS sync_status, last_error,
            CASE WHEN user_id IS NULL THEN TIMESTAMP '2030-01-01' ELSE TIMESTAMP '2020-01-01' END AS created_at,
            CASE WHEN c_custkey IS NULL THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '2030-01-01' END AS updated_at
-    FROM settings FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey%3=0) ON c_custkey=user_id"""))
+    FROM settings FULL JOIN (SELECT c_custkey+50 AS c_custkey FROM customer) ON c_custkey=user_id"""))
 def upsert_settings(spark, sf_dir):
     then = F.lit("2020-01-01 00:00:00").cast("timestamp")
     current = fx.settings(spark, sf_dir).drop("last_sync_at").withColumns({"created_at": then, "updated_at": then})
-    incoming = fx.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0).select(
-        F.col("c_custkey").alias("user_id"), F.lit(True).alias("has_token"), F.lit("c").alias("webhook_secret"))
+    incoming = fx.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 50).alias("user_id"), F.lit(True).alias("has_token"), F.lit("c").alias("webhook_secret"))
     return op.upsert_settings(current, incoming, F.lit("2030-01-01 00:00:00").cast("timestamp"))
 
 

@@ -88,13 +88,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN card%20=0 THEN '{{"condition":"'||({_list(CONDITIONS)})[m%12+1]
                     ||'","signed":false,"artist":null}}' END AS properties
         FROM (SELECT {KEY} AS item_id, l_suppkey AS user_id, l_partkey AS card, max(l_linenumber) AS m
-              FROM lineitem WHERE l_returnflag='A' AND l_partkey%10=0 GROUP BY l_suppkey, l_partkey)"""),
+              FROM lineitem GROUP BY l_suppkey, l_partkey)"""),
     "purchases": ((), f"""
-        SELECT request_id, r.item_id AS item_id, r.user_id AS user_id, r.quantity AS quantity, r.ts AS ts
-        FROM (SELECT o_orderkey AS request_id,
-                     max({{'item_id': {KEY}, 'user_id': l_suppkey, 'quantity': CAST(l_quantity AS INT), 'ts': o_orderdate}}) AS r
-              FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-              WHERE l_linenumber=1 AND l_returnflag='A' GROUP BY o_orderkey)"""),
+        SELECT CAST(l_orderkey AS VARCHAR)||'-'||CAST(l_linenumber AS VARCHAR)||'-'||CAST(l_partkey AS VARCHAR) AS request_id,
+               l_orderkey AS order_id, {KEY} AS item_id, l_suppkey AS user_id, quantity, o_orderdate AS ts
+        FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(sum(l_quantity) AS INT) AS quantity
+              FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey=o_orderkey"""),
     "settings": ((), """
         SELECT s_suppkey AS user_id, s_acctbal>0 AS has_token,
                CASE WHEN s_suppkey%4<>0 THEN 'secret-'||CAST(s_suppkey AS VARCHAR) END AS webhook_secret,
