@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockline import schemas
 from stockline.operators.scan import number_slice, numbered
 
 BATCH_SIZE = 100
@@ -14,13 +15,15 @@ PRICE = "price_cents"
 
 
 def write_inventory(inventory: DataFrame, path: str, version: int) -> None:
-    """Write a full snapshot, then name it in the version list.
+    """Write a full snapshot in the stored schema, then name it in the version list.
 
     Readers see the new snapshot only when it is complete. A repeated call with the same version
     overwrites its own data, so a retried job is safe.
     """
-    inventory.write.mode("overwrite").parquet(f"{path}/snapshot={version}")
     spark = inventory.sparkSession
+    stored = spark.createDataFrame([], schemas.INVENTORY).schema
+    rows = inventory.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.fields])
+    rows.write.mode("overwrite").parquet(f"{path}/snapshot={version}")
     spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{path}/versions")
 
 
@@ -35,11 +38,12 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, version: int | No
 
 
 def write_outbox(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append outbound records (columns of the record's header and a JSON ``body``) as JSON lines.
+    """Write one run's outbound records (columns of the record's header and a JSON ``body``) as JSON
+    lines to a folder of their own, which a repeated run overwrites.
 
     Not partitioned by seller unless asked for: millions of sellers would mean millions of folders.
     """
-    writer = records.write.mode("append")
+    writer = records.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.json(path)
