@@ -14,7 +14,7 @@ from stockline.registry.items import condition_sql
 from stockline.registry.orders import _EVENTS_APPLIED
 from stockline.registry.service import _BUCKET_WALK
 from stockline.registry.views import uuid_sql, with_views
-from stockline.session import cut, scratch_path
+from stockline.session import cut, scratch_path, stream_session
 from stockline.sources import readers as rd
 from stockline.sources import writers as wr
 from stockline.streaming import service as sv
@@ -229,7 +229,7 @@ def evolve_schema(spark, sf_dir):
            CAST(q AS BIGINT) AS new_quantity,
            CASE WHEN q0 IS NULL THEN 'Product not found in local inventory' END AS error FROM l2""")
 def stream_stock_ledger(spark, sf_dir):
-    events = st.dedupe_stream(rd.read_order_events(spark, _event_files(spark, sf_dir, retries=True)))
+    events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, retries=True)))
     out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
     st.stream_stock_ledger(st.event_deltas(events), _domain_inventory_all(spark, sf_dir), out, checkpoint).awaitTermination()
     return spark.read.parquet(f"{out}/ledger").select(
@@ -242,7 +242,7 @@ def stream_stock_ledger(spark, sf_dir):
     SELECT i.id, CAST(coalesce(q, quantity) AS INT) AS quantity FROM inventory i
     LEFT JOIN last l ON l.user_id=i.user_id AND l.product_id=i.external_stock_id""")
 def settled_inventory(spark, sf_dir):
-    events = st.dedupe_stream(rd.read_order_events(spark, _event_files(spark, sf_dir), max_files_per_trigger=100))
+    events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir), max_files_per_trigger=100))
     inventory = _domain_inventory_all(spark, sf_dir)
     out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
     st.stream_stock_ledger(st.event_deltas(events), inventory, out, checkpoint).awaitTermination()
@@ -256,7 +256,7 @@ def _domain_inventory_all(spark, sf_dir):
 @query(with_views("lines", """
     SELECT DISTINCT CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS id, ts FROM lines"""))
 def dedupe_stream(spark, sf_dir):
-    events = st.dedupe_stream(rd.read_order_events(spark, _event_files(spark, sf_dir, retries=True)))
+    events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, retries=True)))
     out, checkpoint = scratch_path(spark, "deduped"), scratch_path(spark, "deduped-checkpoint")
     sinks.run_available(events.select("id", "ts"), out, checkpoint)
     return spark.read.schema("id string, ts timestamp").parquet(out)
@@ -265,7 +265,7 @@ def dedupe_stream(spark, sf_dir):
 def _request_stream(spark, sf_dir, label):
     requests = fx.requests(spark, sf_dir)
     path = _store(requests, label)
-    return spark.readStream.schema(requests.schema).parquet(path)
+    return stream_session(spark).readStream.schema(requests.schema).parquet(path)
 
 
 _ALERTS = with_views("requests", """
@@ -342,7 +342,8 @@ def sync_metrics(spark, sf_dir):
 @query(_METRICS)
 def stream_sync_metrics(spark, sf_dir):
     path = _store(_timed_outcomes(spark, sf_dir), "outcomes")
-    rows = spark.readStream.schema("ts timestamp, operation_type string, outcome string").parquet(path)
+    rows = stream_session(spark).readStream.schema(
+        "ts timestamp, operation_type string, outcome string").parquet(path)
     out, checkpoint = scratch_path(spark, "metrics"), scratch_path(spark, "metrics-checkpoint")
     sinks.run_updates(sv.sync_metrics(rows), out, checkpoint)
     return sinks.latest_updates(spark, out, ["window_start", "operation_type", "action"])

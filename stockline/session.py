@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -26,7 +27,35 @@ def build_session(app_name: str = "stockline", master: str | None = None, **extr
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    configure(spark)
+    return spark
+
+
+def configure(spark: SparkSession) -> None:
+    """Bring a session that was built elsewhere to the settings the jobs expect.
+
+    The few Python functions that run in tasks travel by value, so executors need no copy of this
+    package.
+    """
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    import stockline
+
+    cloudpickle.register_pickle_by_value(stockline)
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for stateful streams.
+
+    The number of state partitions is fixed for the life of a checkpoint and each one is a store of
+    its own, so it follows the cluster's cores and not the batch setting.
+    """
+    session = spark.newSession()
+    configure(session)
+    session.conf.set("spark.sql.shuffle.partitions",
+                     str(state_partitions or spark.sparkContext.defaultParallelism))
+    return session
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
