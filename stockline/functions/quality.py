@@ -64,6 +64,10 @@ RULES = {
 }
 
 
+# What a rule makes of a good value; the other rules leave it as it is.
+NORMAL_FORMS = {"uuid": canonical_uuid, "stock_id": stock_id}
+
+
 def with_errors(rows: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Add ``errors``, an array of (field, message, value), from column -> rule name."""
     checks = []
@@ -75,7 +79,8 @@ def with_errors(rows: DataFrame, rules: Mapping[str, str]) -> DataFrame:
 
 
 def validate_rows(rows: DataFrame, rules: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows with their errors)."""
+    """(good rows in normal form, quarantined rows as they came with their errors)."""
     checked = with_errors(rows, rules)
     bad = F.size("errors") > 0
-    return checked.where(~bad).drop("errors"), checked.where(bad)
+    normal = {name: NORMAL_FORMS[rule](F.col(name)) for name, rule in rules.items() if rule in NORMAL_FORMS}
+    return checked.where(~bad).drop("errors").withColumns(normal), checked.where(bad)

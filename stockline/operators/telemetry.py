@@ -89,11 +89,16 @@ def health_rollup(component_status: DataFrame, keys: Sequence[str]) -> DataFrame
         .when(F.bool_or(status == "unhealthy"), "unhealthy").otherwise("degraded").alias("status"))
 
 
+def is_success() -> Column:
+    code = F.col("status_code")
+    return F.coalesce((code >= 200) & (code < 300), F.lit(False))
+
+
 def failure_type() -> Column:
-    """api_error, network_error, or null. A request without a status never got an answer; a 429 is
-    no failure."""
+    """api_error, network_error, or null. A request without a status never got an answer; any answer
+    but success is an error, except that a 429 is no failure."""
     code = F.col("status_code")
-    return F.when(code.isNull(), "network_error").when((code >= 400) & (code != 429), "api_error")
+    return F.when(code.isNull(), "network_error").when(~is_success() & (code != 429), "api_error")
 
 
 def failure_types(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

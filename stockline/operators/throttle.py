@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from stockline.operators.scan import Running, numbered, running, time_slice
-from stockline.operators.telemetry import KEPT_THROTTLES, gap_sessions
+from stockline.operators.telemetry import KEPT_THROTTLES, gap_sessions, is_success
 from stockline.session import cut
 
 REQUEST_LIMIT = 200
@@ -166,7 +166,7 @@ def adaptive_limits(requests: DataFrame, base: int = REQUEST_LIMIT) -> DataFrame
     user; their number is bounded by the time span, not by the number of requests.
     """
     by_time = time_slice(F.col("ts"))
-    answered = requests.where((F.col("status_code") == 429) | (F.col("status_code") < 400)).select(
+    answered = requests.where((F.col("status_code") == 429) | is_success()).select(
         "user_id", "ts", "request_id", (F.col("status_code") == 429).alias("hit"))
     at = F.unix_micros("ts")
     seen = running(answered, ["user_id"], _ORDER, by_time,
@@ -228,7 +228,7 @@ def user_throttle_stats(requests: DataFrame, as_of, base: int = REQUEST_LIMIT) -
         F.max_by(F.struct("factor", "changed_at"), F.struct(*_ORDER)).alias("s"))
     factor = F.when(moment - F.col("s.changed_at") < memory, F.col("s.factor")).otherwise(1.0)
     return (recent.join(counter(F.col("status_code") == 429, "count_429_1h"), "user_id", "left")
-            .join(counter(F.col("status_code") < 400, "success_count_1h"), "user_id", "left")
+            .join(counter(is_success(), "success_count_1h"), "user_id", "left")
             .join(last.select("user_id", factor.alias("adaptive_factor")), "user_id", "left")
             .select("user_id", F.lit(base).alias("base_limit"),
                     F.coalesce("adaptive_factor", F.lit(1.0)).alias("adaptive_factor"),

@@ -18,6 +18,7 @@ from stockline.plans import bulk
 from stockline.plans import reconcile as rec
 from stockline.session import cut
 from stockline.sources import readers, writers
+from stockline.streaming.stock import settled_inventory
 
 
 def _load(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -105,3 +106,15 @@ def run_purchases(spark: SparkSession, requests: DataFrame, export: DataFrame, i
     writers.write_outbox(remote, f"{outbox_path}/purchase={version + 1}")
     writers.write_inventory(purchases.settle_purchases(inventory, decided), inventory_path, version + 1)
     return decided
+
+
+def run_settle(spark: SparkSession, inventory_path: str, ledger_path: str) -> int:
+    """Write what the streaming ledger has changed so far as the next snapshot; returns its number.
+
+    The stream must be stopped; it then goes on with the same checkpoint, the new snapshot and a
+    fresh ledger folder, so that its log never grows beyond one snapshot's time.
+    """
+    inventory, version = _load(spark, inventory_path)
+    writers.write_inventory(settled_inventory(inventory, ledger_path, F.current_timestamp()),
+                            inventory_path, version + 1)
+    return version + 1

@@ -8,7 +8,9 @@ from stockline import fixtures as fx
 from stockline import schemas
 from stockline.operators import edits as ed
 from stockline.operators import events as ev
+from stockline.functions.signature import signing_pads
 from stockline.operators.ledger import stock_ledger as batch_ledger
+from stockline.plans.order_flow import accept_events as accept, event_answers, event_deltas
 from stockline.registry.bulk import outcomes
 from stockline.registry.items import condition_sql
 from stockline.registry.orders import _EVENTS_APPLIED
@@ -231,7 +233,7 @@ def evolve_schema(spark, sf_dir):
 def stream_stock_ledger(spark, sf_dir):
     events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, retries=True)))
     out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
-    st.stream_stock_ledger(st.event_deltas(events), _domain_inventory_all(spark, sf_dir), out, checkpoint).awaitTermination()
+    st.stream_stock_ledger(event_deltas(events), _domain_inventory_all(spark, sf_dir), out, checkpoint).awaitTermination()
     return spark.read.parquet(f"{out}/ledger").select(
         "user_id", "event_id", "external_stock_id", "ln", "delta", "new_quantity", "error")
 
@@ -245,7 +247,7 @@ def settled_inventory(spark, sf_dir):
     events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir), max_files_per_trigger=100))
     inventory = _domain_inventory_all(spark, sf_dir)
     out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
-    st.stream_stock_ledger(st.event_deltas(events), inventory, out, checkpoint).awaitTermination()
+    st.stream_stock_ledger(event_deltas(events), inventory, out, checkpoint).awaitTermination()
     return st.settled_inventory(inventory, out).select("id", "quantity")
 
 
@@ -359,16 +361,43 @@ def stream_throttle_audit(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query(_EVENTS_APPLIED + f"""
-    SELECT event_id, {uuid_sql('user_id')} AS user_id, count(*) FILTER (q0 IS NOT NULL) AS items_processed,
-           count(*) FILTER (q0 IS NULL) AS failed, CAST(coalesce(sum(q),0) AS BIGINT) AS quantity_after
-    FROM l2 GROUP BY event_id, user_id""")
+@query(with_views("lines settings", f"""
+    , e AS (SELECT DISTINCT order_id, user_id FROM lines)
+    SELECT CAST(order_id AS VARCHAR)||'-'||CAST(e.user_id AS VARCHAR) AS id,
+           CASE WHEN order_id%5=0 THEN NULL WHEN order_id%5 IN (1,2) OR s.user_id IS NULL THEN NULL
+                WHEN webhook_secret IS NULL THEN 'no_secret' ELSE 'unsigned' END AS signature_status,
+           CASE WHEN order_id%5=0 THEN NULL WHEN order_id%5=1 THEN 'Invalid user_id format: nobody'
+                WHEN order_id%5=2 OR s.user_id IS NULL THEN 'User not found in sync settings' END AS message
+    FROM e LEFT JOIN settings s ON s.user_id=e.user_id"""))
+def accept_events(spark, sf_dir):
+    feed = rd.read_order_events(spark, _event_files(spark, sf_dir), stream=False)
+    order = F.col("data.id")
+    sent = feed.withColumn("user_id", F.when(order % 5 == 1, "nobody").when(order % 5 == 2, fx.uuid_text(order + 1_000_000))
+                           .when(order % 5 > 2, F.upper("data.seller.id")))
+    settings = fx.settings(spark, sf_dir).withColumn("user_id", fx.uuid_text(F.col("user_id")))
+    accepted, rejected = accept(sent, signing_pads(settings))
+    return accepted.select("id", "signature_status", F.lit(None).cast("string").alias("message")).unionByName(
+        rejected.select("id", F.lit(None).cast("string").alias("signature_status"), "message"))
+
+
+@query(_EVENTS_APPLIED + """
+    , done AS (SELECT event_id, count(*) FILTER (q0 IS NOT NULL) AS items_processed,
+                      count(*) FILTER (q0 IS NULL) AS failed, CAST(coalesce(sum(q),0) AS BIGINT) AS quantity_after
+               FROM l2 GROUP BY event_id)
+    , e AS (SELECT DISTINCT order_id, user_id, action, cause FROM routed)
+    SELECT CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS webhook_id, order_id,
+           CASE WHEN e.action='ignored' THEN 'ignored' ELSE 'processed' END AS status,
+           CASE WHEN e.action='restore' THEN 'restore_quantities' END AS action,
+           CASE WHEN e.action<>'ignored' THEN coalesce(items_processed,0) END AS items_processed,
+           coalesce(failed,0) AS failed, coalesce(quantity_after,0) AS quantity_after
+    FROM e LEFT JOIN done ON event_id=CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR)""")
 def order_flow(spark, sf_dir):
-    """The whole way of an event in batch: feed, seller, route, lines, ledger, result."""
-    feed = rd.read_order_events(spark, _event_files(spark, sf_dir, retries=True), stream=False)
-    deltas = st.event_deltas(ev.dedupe_events(feed))
-    applied = batch_ledger(deltas, _domain_inventory_all(spark, sf_dir), ev.LINE_ORDER)
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i.new_quantity)
-    return ev.event_results(applied).select(
-        "event_id", "user_id", "items_processed", F.size("errors").cast("long").alias("failed"),
-        total.alias("quantity_after"))
+    """The whole way of an event in batch: feed, seller, route, lines, ledger, answer."""
+    feed = cut(ev.dedupe_events(rd.read_order_events(spark, _event_files(spark, sf_dir, retries=True), stream=False)),
+               "feed")
+    applied = batch_ledger(event_deltas(feed), _domain_inventory_all(spark, sf_dir), ev.LINE_ORDER)
+    answers = event_answers(feed, ev.event_results(applied))
+    total = F.coalesce(F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i.new_quantity), F.lit(0))
+    return answers.select("webhook_id", "order_id", "status", "action", "items_processed",
+                          F.coalesce(F.size("errors"), F.lit(0)).cast("long").alias("failed"),
+                          total.alias("quantity_after"))

@@ -140,7 +140,7 @@ def _mixed_rows(spark, sf_dir):
 _RULES = {"user_id": "uuid", "blueprint_id": "blueprint_id", "external_stock_id": "stock_id",
           "quantity": "quantity", "price_cents": "price"}
 _ERRORS = """
-    SELECT id, list_filter([
+    SELECT id, blueprint_id, external_stock_id, list_filter([
         CASE WHEN blueprint_id%7=0 THEN 'user_id: Invalid user_id format: must be a valid UUID' END,
         CASE WHEN blueprint_id%11=0 THEN 'blueprint_id: blueprint_id must be an integer'
              WHEN blueprint_id<=0 THEN 'blueprint_id: blueprint_id must be positive' END,
@@ -151,12 +151,13 @@ _ERRORS = """
 
 
 @query(with_views("inventory", f"""
-    SELECT id, array_to_string(e,'; ') AS errors FROM ({_ERRORS}) WHERE len(e)>0
-    UNION ALL SELECT id, '' FROM ({_ERRORS}) WHERE len(e)=0"""))
+    SELECT id, array_to_string(e,'; ') AS errors, CAST(NULL AS VARCHAR) AS stock_id FROM ({_ERRORS}) WHERE len(e)>0
+    UNION ALL SELECT id, '', CASE WHEN blueprint_id%13<>1 THEN external_stock_id END FROM ({_ERRORS}) WHERE len(e)=0"""))
 def validate_rows(spark, sf_dir):
     good, bad = q.validate_rows(_mixed_rows(spark, sf_dir), _RULES)
     shown = F.array_join(F.transform("errors", lambda e: F.concat(e.field, F.lit(": "), e.message)), "; ")
-    return bad.select("id", shown.alias("errors")).unionByName(good.select("id", F.lit("").alias("errors")))
+    return bad.select("id", shown.alias("errors"), F.lit(None).cast("string").alias("stock_id")).unionByName(
+        good.select("id", F.lit("").alias("errors"), F.col("external_stock_id").alias("stock_id")))
 
 
 def _trim_sql(column):

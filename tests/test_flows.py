@@ -4,9 +4,12 @@ import random
 from pyspark.sql import functions as F
 
 from stockline import schemas
+from stockline.operators import events as ev
 from stockline.operators import operations as op
-from stockline.plans import bulk
+from stockline.operators.ledger import stock_ledger
+from stockline.plans import bulk, jobs
 from stockline.plans import reconcile as rc
+from stockline.plans.order_flow import event_answers, event_deltas
 from stockline.sources import readers as rd
 from stockline.sources import writers as wr
 from stockline.streaming import service as sv
@@ -152,7 +155,7 @@ def test_stream_over_many_triggers_equals_one_by_one(spark, tmp_path):
                 lines.append(lines[-1])
         (feed / f"part-{trigger}.json").write_text("\n".join(lines))
         events = st.dedupe_stream(rd.read_order_events(spark, str(feed)))
-        st.stream_stock_ledger(st.event_deltas(events), inventory, out, str(tmp_path / "checkpoint")).awaitTermination()
+        st.stream_stock_ledger(event_deltas(events), inventory, out, str(tmp_path / "checkpoint")).awaitTermination()
     got = {(r.event_id, r.ln): r.new_quantity for r in spark.read.parquet(f"{out}/ledger").collect()}
     assert got == expected
     assert spark.read.parquet(f"{out}/ledger").select("batch").distinct().count() >= 4
@@ -171,3 +174,34 @@ def test_stream_bucket_keeps_state_between_triggers(spark, tmp_path):
     got = {r.request_id: (r.allowed, r.wait_seconds) for r in spark.read.parquet(out).collect()}
     assert got == {0: (True, None), 1: (True, None), 2: (True, None), 3: (False, 3.0), 4: (False, 2.0), 5: (False, 1.0),
                    6: (True, None), 7: (True, None)}
+
+
+def test_stream_goes_on_after_a_snapshot(spark, tmp_path):
+    inventory_path, feed = str(tmp_path / "inventory"), tmp_path / "feed"
+    feed.mkdir()
+    start = spark.createDataFrame([(1, USER, 7, 5, 100, None, "7", None, None, None, None, None)], schemas.INVENTORY)
+    wr.write_inventory(start, inventory_path, 1)
+    for number, cause, sold in ((1, "order.create", 8), (2, "order.destroy", 3), (3, "order.create", 1)):
+        (feed / f"{number}.json").write_text(_event(number, cause, "paid", [{"product_id": "7", "quantity": sold}]))
+        current = wr.read_snapshot(spark, inventory_path, schemas.INVENTORY)
+        events = rd.read_order_events(spark, str(feed))
+        ledger = str(tmp_path / f"ledger-{number}")
+        st.stream_stock_ledger(event_deltas(events), current, ledger, str(tmp_path / "checkpoint")).awaitTermination()
+        assert jobs.run_settle(spark, inventory_path, ledger) == number + 1
+    assert wr.read_snapshot(spark, inventory_path, schemas.INVENTORY).first().quantity == 2
+
+
+def test_event_answers(spark, tmp_path):
+    lines = [_event(1, "order.create", "paid", [{"product_id": "7", "quantity": 1}, {"product_id": "9", "quantity": 1}]),
+             _event(2, "order.create", "pending", []), _event(3, "order.destroy", "x", []), _event(4, "ping", "x", []),
+             _event(5, "order.destroy", "x", []).replace(USER, "123")]
+    (tmp_path / "feed.json").write_text("\n".join(lines))
+    events = rd.read_order_events(spark, str(tmp_path / "feed.json"), stream=False)
+    inventory = spark.createDataFrame([(1, USER, "7", 5)], "id long, user_id string, external_stock_id string, quantity int")
+    results = ev.event_results(stock_ledger(event_deltas(events), inventory, ev.LINE_ORDER))
+    got = {r.order_id: r for r in event_answers(events, results).collect()}
+    assert [got[i].status for i in range(1, 6)] == ["processed", "ignored", "processed", "ignored", "error"]
+    assert (got[1].items_processed, got[1].items[0].new_quantity) == (1, 4)
+    assert got[1].errors[0].error == "Product not found in local inventory" and got[1].action is None
+    assert (got[3].items_processed, got[3].action) == (0, "restore_quantities")
+    assert got[4].message == "Unsupported webhook cause" and got[5].message == "Invalid user_id format: 123"
