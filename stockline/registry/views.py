@@ -56,8 +56,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id, product_id AS external_stock_id,
                CASE WHEN cause='order.create' THEN -quantity ELSE quantity END AS delta, ts, order_id, ln
         FROM lines
-        WHERE (cause='order.create' AND state='paid') OR (cause='order.update' AND state='canceled')
-           OR cause='order.destroy'"""),
+        WHERE product_id<>'0' AND ((cause='order.create' AND state='paid')
+           OR (cause='order.update' AND state='canceled') OR cause='order.destroy')"""),
     "props": ((), f"""
         SELECT p_partkey AS blueprint_id,
                '{{"condition":"'||({_list(CONDITIONS)})[p_partkey%12+1]||'","mtg_foil":'||({_list(FOILS)})[p_partkey%6+1]
