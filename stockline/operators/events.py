@@ -99,18 +99,17 @@ def event_results(applied: DataFrame) -> DataFrame:
 
     The lists of an event hold what one input record held, so a group is as large as one record.
     """
-    item = F.struct("ln", F.col("external_stock_id").alias("product_id"), "old_quantity", "new_quantity",
-                    F.abs("delta").alias("moved_quantity"))
-    failure = F.struct("ln", F.col("external_stock_id").alias("product_id"), "error")
-    done = F.col("error").isNull()
-
-    def in_order(condition: Column, struct: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(condition, struct)))
-
-    return (applied.groupBy("event_id", "user_id", "action")
-            .agg(F.count_if(done).alias("items_processed"), in_order(done, item).alias("items"),
-                 in_order(~done, failure).alias("errors"))
-            .withColumn("status", F.lit("processed")))
+    line = F.struct("ln", F.col("external_stock_id").alias("product_id"), "old_quantity", "new_quantity",
+                    F.abs("delta").alias("moved_quantity"), "error")
+    lines = F.col("_lines")
+    items = F.transform(F.filter(lines, lambda i: i["error"].isNull()), lambda i: i.dropFields("error"))
+    errors = F.transform(F.filter(lines, lambda i: i["error"].isNotNull()),
+                         lambda i: F.struct(i["ln"].alias("ln"), i["product_id"].alias("product_id"),
+                                            i["error"].alias("error")))
+    return (applied.groupBy("event_id", "user_id", "action").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+            .select("event_id", "user_id", "action",
+                    F.size(F.filter(lines, lambda i: i["error"].isNull())).cast("long").alias("items_processed"),
+                    items.alias("items"), errors.alias("errors"), F.lit("processed").alias("status")))
 
 
 def dedupe_events(events: DataFrame, key: str = "id", arrival: str = "ts") -> DataFrame:

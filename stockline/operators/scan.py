@@ -55,7 +55,12 @@ def running(
     slice_by: Column,
     values: Mapping[str, Running],
 ) -> DataFrame:
-    """Add one running column per entry of ``values`` to ``rows``."""
+    """Add one running column per entry of ``values`` to ``rows``.
+
+    ``slice_by`` is any column that never falls along ``order``; a struct of two such columns cuts
+    finer, e.g. where very many rows of a key share one timestamp. ``rows`` is read twice, so an
+    expensive input should be written first (``session.cut``).
+    """
     sliced = rows.withColumn(SLICE, slice_by)
     group = [*keys, SLICE]
     inside = Window.partitionBy(*group).orderBy(*order)

@@ -182,6 +182,6 @@ def latency_report(requests: DataFrame) -> DataFrame:
         (F.count_if((code >= 400) & (code < 500)).cast("double") / n).alias("share_4xx"),
         (F.count_if(code >= 500).cast("double") / n).alias("share_5xx"),
         F.count_if(code == 429).alias("throttled"), F.count_distinct("user_id").alias("active_users"))
-    return base.join(exact_percentiles(requests, ["endpoint"], "duration_s"), "endpoint")
+    return base.join(exact_percentiles(requests, ["endpoint"], "duration_s"), "endpoint", "left")
 
 

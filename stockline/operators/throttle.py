@@ -119,8 +119,9 @@ def throttle_audit(requests: DataFrame, limit: int = REQUEST_LIMIT, window_secon
         F.array_sort(F.collect_list(F.struct("slice", "e.upto", "e.after"))).alias("s"))
     carried = ordered.select("user_id", F.inline(F.arrays_zip(
         F.col("s.slice").alias("slice"), _entries_udf("s.upto", "s.after").alias("free_at"))))
-    placed = (slices.join(carried.toDF("user_id", "slice", "free_at"), ["user_id", "slice"])
-              .select("user_id", "log", _starts_udf(times, "free_at", F.lit(window)).alias("buckets"))
+    entry = F.coalesce("free_at", F.lit(_ALWAYS))
+    placed = (slices.join(carried.toDF("user_id", "slice", "free_at"), ["user_id", "slice"], "left")
+              .select("user_id", "log", _starts_udf(times, entry, F.lit(window)).alias("buckets"))
               .select("user_id", F.explode(F.arrays_zip("log", "buckets")).alias("z"))
               .select("user_id", "z.log.request_id", "z.log.at", F.col("z.buckets").alias("bucket")))
     turn = Window.partitionBy("user_id", "bucket").orderBy("at", "request_id")

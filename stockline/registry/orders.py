@@ -9,6 +9,7 @@ from stockline.functions import signature as sig
 from stockline.operators import events as ev
 from stockline.operators import ledger as lg
 from stockline.registry.views import uuid_sql, with_views
+from stockline.session import cut
 
 QUERIES = {}
 DELTA_ORDER = ["ts", "order_id", "ln", "delta"]
@@ -158,7 +159,9 @@ _EVENTS_APPLIED = with_views("lines inventory", _ROUTE + """
            'processed' AS status
     FROM l2 GROUP BY event_id, user_id, action""")
 def event_results(spark, sf_dir):
-    lines = ev.valid_order_lines(ev.explode_lines(ev.route_events(fx.order_events(spark, sf_dir))))
+    # The nested events are derived once, as a feed would bring them.
+    events = cut(fx.order_events(spark, sf_dir), "events")
+    lines = ev.valid_order_lines(ev.explode_lines(ev.route_events(events)))
     applied = lg.stock_ledger(ev.line_deltas(lines), fx.inventory(spark, sf_dir), ev.LINE_ORDER)
     total = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i.new_quantity)
     return ev.event_results(applied).select(
