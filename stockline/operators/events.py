@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockline.functions.quality import canonical_uuid
 from stockline.operators.ledger import AMBIGUOUS, NOT_FOUND, STOCK_KEY, unique_stock
+from stockline.operators.scan import keep_one
 
 LINE_ORDER = ["ts", "event_id", "ln", "quantity"]
 
@@ -113,10 +114,8 @@ def event_results(applied: DataFrame) -> DataFrame:
 
 
 def dedupe_events(events: DataFrame, key: str = "id", arrival: str = "ts") -> DataFrame:
-    """Keep the first arrival of each event (batch form); retries are reduced before the shuffle."""
-    payload = [c for c in events.columns if c != key]
-    return (events.groupBy(key).agg(F.min_by(F.struct(*payload), F.col(arrival)).alias("_first"))
-            .select(key, "_first.*").select(*events.columns))
+    """Keep the first arrival of each event (batch form of ``dedupe_stream``)."""
+    return keep_one(events, [key], F.col(arrival).asc_nulls_last())
 
 
 __all__ = ["LINE_ORDER", "STOCK_KEY", "dedupe_events", "event_results", "explode_lines", "ignore_reason",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockline.functions.quality import same_owner
+from stockline.operators.scan import keep_one
 
 BUSY = ["initial_sync", "active"]
 PROGRESS_FIELDS = ["progress_percent", "total_chunks", "processed_chunks", "total_products", "processed",
@@ -61,9 +62,7 @@ def latest_operation(users: DataFrame, operations: DataFrame, op_type: str = "bu
 
 def insert_operations(log: DataFrame, new: DataFrame, order: str = "created_at") -> DataFrame:
     """Append operations whose id is not there yet; of copies inside ``new`` the first one counts."""
-    payload = [c for c in new.columns if c != "operation_id"]
-    first = (new.groupBy("operation_id").agg(F.min_by(F.struct(*payload), order).alias("_first"))
-             .select("operation_id", "_first.*"))
+    first = keep_one(new, ["operation_id"], F.col(order).asc_nulls_last())
     return log.unionByName(first.join(log.select("operation_id"), "operation_id", "left_anti"),
                            allowMissingColumns=True)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockline.operators.scan import number_slice, numbered
+from stockline.operators.scan import keep_one, number_slice, numbered
 
 CHUNK_SIZE = 5000
 EXCLUDED_SOURCES = ("op_prints",)
@@ -63,10 +63,8 @@ def with_defaults(export: DataFrame, reconcile: bool = False) -> DataFrame:
 
 
 def last_write(export: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
-    """The last row per key. Copies of a key are reduced before the shuffle."""
-    payload = [c for c in export.columns if c not in keys]
-    return (export.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col(order)).alias("_last"))
-            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in payload]).select(*export.columns))
+    """The last row per key."""
+    return keep_one(export, keys, F.col(order).desc())
 
 
 def chunk_index(export: DataFrame, size: int = CHUNK_SIZE, order: str = "seq") -> DataFrame:

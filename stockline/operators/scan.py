@@ -91,3 +91,10 @@ def numbered(
 ) -> DataFrame:
     """``row_number()`` for groups of any size."""
     return running(rows, keys, order, slice_by, {name: Running("sum", F.lit(1).cast("long"))})
+
+
+def keep_one(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The first row per key in ``order``. Spark cuts each task's rows to one per key before the
+    shuffle, so it does not matter how many copies a key has."""
+    ranked = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == 1).drop("_rank")
