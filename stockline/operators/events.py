@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockline.functions.quality import canonical_uuid
-from stockline.operators.ledger import AMBIGUOUS, NOT_FOUND, STOCK_KEY, unique_stock
+from stockline.operators.ledger import AMBIGUOUS, NOT_FOUND, unique_stock
 from stockline.operators.scan import keep_one
 
 LINE_ORDER = ["ts", "event_id", "ln", "quantity"]
@@ -116,7 +116,3 @@ def event_results(applied: DataFrame) -> DataFrame:
 def dedupe_events(events: DataFrame, key: str = "id", arrival: str = "ts") -> DataFrame:
     """Keep the first arrival of each event (batch form of ``dedupe_stream``)."""
     return keep_one(events, [key], F.col(arrival).asc_nulls_last())
-
-
-__all__ = ["LINE_ORDER", "STOCK_KEY", "dedupe_events", "event_results", "explode_lines", "ignore_reason",
-           "line_deltas", "match_order_lines", "resolve_seller", "route", "route_events", "valid_order_lines"]

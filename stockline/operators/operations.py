@@ -72,15 +72,12 @@ def complete_operations(operations: DataFrame, results: DataFrame) -> DataFrame:
     done = results.select("operation_id", F.col("completed_at").alias("_at"),
                           F.col("operation_metadata").alias("_metadata"))
     finished = F.col("_at").isNotNull()
-    joined = operations.drop("completed_at").join(done, "operation_id", "left")
-    at = F.coalesce(F.col("_at"), F.col("_before")) if "completed_at" in operations.columns else F.col("_at")
-    if "completed_at" in operations.columns:
-        joined = operations.withColumnRenamed("completed_at", "_before").join(done, "operation_id", "left")
+    before = F.col("completed_at") if "completed_at" in operations.columns else F.lit(None)
     columns = [c for c in operations.columns if c not in ("status", "operation_metadata", "completed_at")]
-    return joined.select(
+    return operations.join(done, "operation_id", "left").select(
         *columns, F.when(finished, "completed").otherwise(F.col("status")).alias("status"),
         F.when(finished, F.col("_metadata")).otherwise(F.col("operation_metadata")).alias("operation_metadata"),
-        at.alias("completed_at"))
+        F.coalesce("_at", before).alias("completed_at"))
 
 
 def sync_status(events: DataFrame) -> DataFrame:

@@ -287,8 +287,6 @@ def detect_changes(spark, sf_dir):
 
 
 @query("""
-    , latest AS (SELECT l_suppkey AS user_id, l_partkey AS item_id, max(l_orderkey*8+l_linenumber) AS seq FROM lineitem)
-    """[:0] + """
     WITH p AS (SELECT l_suppkey AS user_id, l_partkey AS item_id, (l_orderkey*8+l_linenumber)*100+CAST(l_quantity AS INT) AS seq,
                CAST(l_quantity AS INT) AS n, l_linenumber AS ln FROM lineitem)
     SELECT user_id, item_id, CAST(arg_max(n, seq) FILTER (ln%2=0) AS INT) AS quantity,

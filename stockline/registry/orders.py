@@ -99,22 +99,17 @@ def match_order_lines(spark, sf_dir):
         "user_id", "order_id", "ln", "product_id", "quantity", "item_id", "error")
 
 
-_LEDGER = with_views("deltas inventory", """
+_IN_ORDER = "PARTITION BY user_id, external_stock_id ORDER BY ts, order_id, ln, delta"
+_LEDGER = with_views("deltas inventory", f"""
     , sums AS (SELECT d.*, i.id AS item_id, i.quantity AS q0,
-                      CAST(sum(delta) OVER w AS BIGINT) AS s
-               FROM deltas d LEFT JOIN inventory i USING (user_id, external_stock_id)
-               WINDOW w AS (PARTITION BY user_id, external_stock_id ORDER BY ts, order_id, ln, delta
-                            ROWS UNBOUNDED PRECEDING))
-    , lows AS (SELECT *, min(s) OVER w AS m,
-                      coalesce(min(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS mp
-               FROM sums WINDOW w AS (PARTITION BY user_id, external_stock_id ORDER BY ts, order_id, ln, delta))
+                      CAST(sum(delta) OVER ({_IN_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s
+               FROM deltas d LEFT JOIN inventory i USING (user_id, external_stock_id))
+    , lows AS (SELECT *, min(s) OVER ({_IN_ORDER} ROWS UNBOUNDED PRECEDING) AS m,
+                      coalesce(min(s) OVER ({_IN_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS mp
+               FROM sums)
     , ledger AS (SELECT user_id, external_stock_id, CAST(delta AS BIGINT) AS delta, ts, order_id, ln, item_id,
                         CAST(q0+s-delta-least(0,q0+mp) AS BIGINT) AS old_quantity,
                         CAST(q0+s-least(0,q0+m) AS BIGINT) AS new_quantity FROM lows)""")
-_LEDGER = _LEDGER.replace("min(s) OVER w AS m", "min(s) OVER (PARTITION BY user_id, external_stock_id "
-                          "ORDER BY ts, order_id, ln, delta ROWS UNBOUNDED PRECEDING) AS m").replace(
-    "(w ROWS BETWEEN", "(PARTITION BY user_id, external_stock_id ORDER BY ts, order_id, ln, delta ROWS BETWEEN"
-).replace(" WINDOW w AS (PARTITION BY user_id, external_stock_id ORDER BY ts, order_id, ln, delta))", ")")
 
 
 @query(_LEDGER + """

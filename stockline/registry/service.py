@@ -198,7 +198,6 @@ def labelled_counts(spark, sf_dir):
 
 
 @query("""
-    , x AS (SELECT 1)"""[:0] + """
     WITH h AS (SELECT CAST(ts AS DATE) AS day, user_id,
         CASE WHEN event_type='error' AND value>40 THEN 'unhealthy' WHEN event_type='signup' AND value>60 THEN 'slow'
              ELSE 'healthy' END AS status FROM events)
