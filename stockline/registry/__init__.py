@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from stockline.session import configure
+from stockline.session import configure, provide_shared_folder
 
 MODULES = ["bulk", "orders", "items", "service", "flows"]
 
@@ -15,6 +15,7 @@ def _wall_clock(query):
     """Timestamps leave as plain UTC wall-clock values, whatever the caller's time zone is."""
     def run(spark, sf_dir) -> DataFrame:
         configure(spark)
+        provide_shared_folder(spark)
         frame = query(spark, sf_dir)
         return frame.select(*[
             F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -58,16 +57,28 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     return session
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+_folder: str | None = None
 
-    A machine-local folder is used only for a ``local`` master that names no shared one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+
+def use_shared_folder(path: str | None) -> None:
+    """Name the folder for intermediate tables of sessions that do not set ``spark.checkpoint.dir``."""
+    global _folder
+    _folder = path
+
+
+def provide_shared_folder(spark: SparkSession) -> None:
+    """For entry points, tests and benchmarks: a folder of their own if a one-process session names none."""
+    if not _folder and not spark.conf.get("spark.checkpoint.dir", None):
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            use_shared_folder(f"/tmp/checkpoints/stockline-{uuid.uuid4().hex}")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder under the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _folder
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="stockline-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
