@@ -7,16 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockline.llm.common import table
 from stockline.llm.exact_dedup import exact_groups
+from stockline.llm.imatch import fingerprint_documents
 from stockline.llm.language import LanguageModel, language_profiles, predict_languages
+from stockline.llm.ngram_join import shingle_components
 from stockline.llm.packing import pack_documents
+from stockline.llm.piece_tokens import round_trip
 from stockline.llm.quality import fit_quality, score_quality
+from stockline.llm.quotations import link_replies
 from stockline.llm.token_counts import token_counts
 from stockline.llm.toxicity import fit_toxicity, score_toxicity
 
-WORD_VOCABULARY = "word_bpe_49k.json"
+WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
+SEED, DROPOUT = 20240229, 0.1
 TOKEN_LIMIT, SEQUENCE_TOKENS, END_ID, THRESHOLD = 2048, 4096, 1, 0.7
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), TOKEN_LIMIT)
 
@@ -40,11 +49,76 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY), SEED, DROPOUT)
+
+
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_replies(table(spark, sf_dir, "conversations"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, LanguageModel(language_profiles(docs)))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS cls, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+tokens AS (SELECT cls, len(s) AS n, unnest(s) AS t FROM classes),
+pairs AS (
+  SELECT a.cls AS a, b.cls AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.cls < b.cls
+  GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comps AS (SELECT a AS cls, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id,
+  coalesce(classes.cls, sets.doc_id) AS class_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN comps ON classes.cls = comps.cls
+"""
+
+OP10_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+following AS (
+  SELECT *, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id,
+    coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text
+  FROM base WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+versions AS (
+  SELECT doc_id, 0 AS version, text FROM base
+  UNION ALL SELECT doc_id, 1, left(text, n - n // 2) || left(next_text, n // 2) FROM following),
+worded AS (
+  SELECT doc_id, version, text, list_filter(list_distinct(regexp_split_to_array(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+')), lambda w: w <> '') AS terms FROM versions),
+lexicon AS (
+  SELECT list(term) AS words FROM (
+    SELECT term FROM (SELECT unnest(terms) AS term FROM worded WHERE version = 0) GROUP BY term
+    HAVING count(*) >= greatest(2, 0.01 * (SELECT count(*) FROM documents))
+      AND count(*) <= 0.1 * (SELECT count(*) FROM documents))),
+held AS (
+  SELECT doc_id, version, text, terms, list_sort(list_intersect(terms, coalesce(words, []))) AS held FROM worded, lexicon),
+used AS (
+  SELECT doc_id, version, text, list_transform(CASE WHEN len(held) < 8 THEN list_sort(terms) ELSE held END,
+    lambda t: {'t': t, 'd': md5(t)}) AS used FROM held),
+printed AS (
+  SELECT doc_id, version, sha256(text) AS sha, list_transform(range(1, 13), lambda k: substr(md5(array_to_string(
+    list_transform(list_filter(used, lambda x: substr(x.d, k, 1) >= 'c'), lambda x: x.t), ' ')), 1, 12)) AS parts FROM used)
+SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_chars, e.sha AS edited_sha256, array_to_string(p.parts, '-') AS fingerprint,
+  array_to_string(e.parts, '-') AS edited_fingerprint,
+  list_sum(list_transform(range(1, 13), lambda k: CAST(p.parts[k] = e.parts[k] AS INT))) / 12.0 AS near_edited,
+  list_sum(list_transform(range(1, 13), lambda k: CAST(p.parts[k] = x.parts[k] AS INT))) / 12.0 AS near_next
+FROM following f JOIN printed p ON p.doc_id = f.doc_id AND p.version = 0 JOIN printed e ON e.doc_id = f.doc_id
+  AND e.version = 1 JOIN printed x ON x.doc_id = f.next_id AND x.version = 0
+"""
+
 OP6_SQL = """
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -55,10 +129,14 @@ FROM folded WINDOW g AS (PARTITION BY t)
 """
 
 QUERIES = {
+    "op1_ngram_join": (op1_ngram_join, OP1_SQL),
     "op2_token_counts": (op2_token_counts, None),
     "op3_packing": (op3_packing, None),
     "op4_quality": (op4_quality, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op7_merge_dropout": (op7_merge_dropout, None),
+    "op8_quotations": (op8_quotations, None),
     "op9_language": (op9_language, None),
+    "op10_imatch": (op10_imatch, OP10_SQL),
 }
