@@ -103,22 +103,24 @@ def detect_changes(inventory: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def build_update_payload(items: DataFrame) -> DataFrame:
-    """Outbound update record of each item, as JSON in ``body``; ``status`` is queued or skipped.
+    """Outbound update record of each item, as JSON in ``body``; ``status`` is queued, skipped or, where
+    the stock id is no number, error.
 
     Null fields are left out of the record. Price goes out in currency units.
     """
     sent = props.outbound_map(props.parse(F.col("properties")))
     prepared = items.withColumn("_sent", sent)
+    stock_id = F.col("external_stock_id").try_cast("long")
     body = F.struct(
-        F.col("external_stock_id").cast("long").alias("id"),
+        stock_id.alias("id"),
         (F.col("price_cents") / F.lit(100.0)).alias("price"), "quantity", "description", "user_data_field", "graded",
         F.when(F.size("_sent") > 0, F.col("_sent")).alias("properties"))
     linked = F.coalesce(F.col("external_stock_id") != "", F.lit(False))
     return prepared.select(
         "user_id", F.col("id").alias("item_id"), "external_stock_id",
-        F.when(linked, "queued").otherwise("skipped").alias("status"),
-        F.when(~linked, "no_external_stock_id").alias("reason"),
-        F.when(linked, F.to_json(body)).alias("body"))
+        F.when(linked & stock_id.isNotNull(), "queued").when(linked, "error").otherwise("skipped").alias("status"),
+        F.when(~linked, "no_external_stock_id").when(stock_id.isNull(), "invalid_external_stock_id").alias("reason"),
+        F.when(linked & stock_id.isNotNull(), F.to_json(body)).alias("body"))
 
 
 def delete_items(inventory: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -114,5 +114,14 @@ def event_results(applied: DataFrame) -> DataFrame:
 
 
 def dedupe_events(events: DataFrame, key: str = "id", arrival: str = "ts") -> DataFrame:
-    """Keep the first arrival of each event (batch form of ``dedupe_stream``)."""
-    return keep_one(events, [key], F.col(arrival).asc_nulls_last())
+    """Keep the first arrival of each event (batch form of ``dedupe_stream``).
+
+    Events without an id are not known to be the same one, so all of them stay.
+    """
+    named = is_named(F.col(key))
+    return keep_one(events.where(named), [key], F.col(arrival).asc_nulls_last()).unionByName(events.where(~named))
+
+
+def is_named(event_id: Column) -> Column:
+    """Whether an event has an id of its own; readers put ``unknown`` where the feed has none."""
+    return event_id.isNotNull() & (event_id.cast("string") != "unknown")

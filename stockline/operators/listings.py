@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from stockline.functions import properties as props
 
-MAX_LISTINGS = 200
-MAX_PAGE = 1000
+
+def _rows(limit: int, offset: int = 0) -> int:
+    if limit < 1 or offset < 0:
+        raise ValueError("a limit is at least 1, an offset at least 0")
+    return limit
 
 
 def in_stock(inventory: DataFrame) -> DataFrame:
@@ -35,19 +38,19 @@ def top_listings(inventory: DataFrame, limit: int = 100) -> DataFrame:
     before the shuffle."""
     cheapest = Window.partitionBy("blueprint_id").orderBy("price_cents", "id")
     return (in_stock(inventory).withColumn("rank", F.row_number().over(cheapest))
-            .where(F.col("rank") <= min(max(1, limit), MAX_LISTINGS)))
+            .where(F.col("rank") <= _rows(limit)))
 
 
 def listings_for(inventory: DataFrame, blueprint_id: int, limit: int = 100) -> DataFrame:
     return (in_stock(inventory).where(F.col("blueprint_id") == blueprint_id)
-            .orderBy("price_cents", "id").limit(min(max(1, limit), MAX_LISTINGS)))
+            .orderBy("price_cents", "id").limit(_rows(limit)))
 
 
 def inventory_page(inventory: DataFrame, user_id, limit: int = 100, offset: int = 0) -> DataFrame:
     """One page of a seller's items, newest first."""
     return (inventory.where(F.col("user_id") == F.lit(user_id))
             .orderBy(F.col("updated_at").desc(), "id")
-            .offset(max(0, offset)).limit(min(max(1, limit), MAX_PAGE)))
+            .offset(offset).limit(_rows(limit, offset)))
 
 
 def inventory_total(inventory: DataFrame) -> DataFrame:

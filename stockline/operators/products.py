@@ -71,7 +71,9 @@ def chunk_index(export: DataFrame, size: int = CHUNK_SIZE, order: str = "seq") -
     """Position of each row in its seller's export, its chunk and the seller's number of chunks."""
     placed = numbered(export, ["user_id"], [order], number_slice(F.col(order)))
     totals = export.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("total_chunks"))
-    return (placed.join(totals, "user_id")
+    totals = totals.withColumnRenamed("user_id", "_seller")
+    # Rows without a seller are chunked together.
+    return (placed.join(totals, F.col("user_id").eqNullSafe(F.col("_seller"))).drop("_seller")
             .withColumn("chunk", F.floor((F.col("position") - 1) / F.lit(size))))
 
 

@@ -35,7 +35,8 @@ class Running:
 
 
 def time_slice(ts: Column, seconds: int = 3600) -> Column:
-    return F.floor(F.unix_seconds(ts) / F.lit(seconds))
+    """The stretch of time a row is in; rows without a time are in one before all others."""
+    return F.coalesce(F.floor(F.unix_seconds(ts) / F.lit(seconds)), F.lit(-(1 << 40)))
 
 
 def number_slice(position: Column, width: int = 1_000_000) -> Column:

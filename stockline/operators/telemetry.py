@@ -33,8 +33,6 @@ COUNTER_LABELS = {
     "store_operations": ["operation", "status"],
 }
 
-KEPT_VALUES = 1000
-KEPT_THROTTLES = 101
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -46,15 +44,16 @@ def counter_totals(metric_events: DataFrame, labels: Sequence[str]) -> DataFrame
     return metric_events.groupBy("name", *labels).agg(F.sum("value").alias("total"))
 
 
-def last_n_values(metric_events: DataFrame, labels: Sequence[str], n: int = KEPT_VALUES) -> DataFrame:
+def last_n_values(metric_events: DataFrame, labels: Sequence[str], n: int) -> DataFrame:
     """The newest ``n`` values per key. Spark keeps at most ``n`` per key and task before the shuffle."""
     newest = Window.partitionBy("name", *labels).orderBy(F.col("ts").desc(), F.col("seq").desc())
     return (metric_events.withColumn("_rank", F.row_number().over(newest))
             .where(F.col("_rank") <= n).drop("_rank"))
 
 
-def histogram_stats(metric_events: DataFrame, labels: Sequence[str], keep: int = KEPT_VALUES) -> DataFrame:
-    return last_n_values(metric_events, labels, keep).groupBy("name", *labels).agg(
+def histogram_stats(metric_events: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Count, least, greatest and mean of all values per key."""
+    return metric_events.groupBy("name", *labels).agg(
         F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
         _mean("value").alias("avg"))
 
@@ -107,21 +106,27 @@ def failure_types(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def recent_throttles(requests: DataFrame, window_seconds: int = 300) -> DataFrame:
-    """Per request, the user's 429s in the last ``window_seconds`` (the far end excluded), of which
-    the log keeps the newest 101.
+    """Per request, the user's 429s in the last ``window_seconds`` (the far end excluded).
 
-    Time is cut into stretches of one window; a 429 is seen from its own stretch and the next one,
-    so it is sent to both, and a group is one user's stretch.
+    Time is cut into stretches of one window, and a group is one user's stretch. A 429 counts one from
+    its time on and minus one a window later, in its own stretch and the next one, so the number is a
+    running sum over rows that are read once.
     """
     width = window_seconds * 1_000_000
     at = F.unix_micros("ts")
     stretch = F.floor(at / F.lit(width))
     hit = F.coalesce(F.col("status_code") == 429, F.lit(False))
-    placed = requests.select("*", at.alias("_at"), hit.alias("_hit"), F.explode(
-        F.when(hit, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))).alias("_stretch"))
-    recent = (Window.partitionBy("user_id", "_stretch").orderBy("_at").rangeBetween(-(width - 1), 0))
-    return (placed.withColumn("recent_429s", F.least(F.count_if("_hit").over(recent), F.lit(KEPT_THROTTLES)))
-            .where(F.col("_stretch") == stretch).select(*requests.columns, "recent_429s"))
+
+    def step(where: Column, when: Column, change: int, own: bool) -> Column:
+        return F.struct(where.alias("stretch"), when.alias("at"), F.lit(change).alias("change"), F.lit(own).alias("own"))
+
+    steps = F.when(hit, F.array(step(stretch, at, 1, True), step(stretch + 1, at, 1, False),
+                                step(stretch + 1, at + width, -1, False))).otherwise(F.array(step(stretch, at, 0, True)))
+    placed = requests.select("*", F.explode(steps).alias("_step"))
+    before = (Window.partitionBy("user_id", "_step.stretch").orderBy("_step.at")
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return (placed.withColumn("recent_429s", F.sum("_step.change").over(before))
+            .where(F.col("_step.own")).select(*requests.columns, "recent_429s"))
 
 
 def gap_sessions(events: DataFrame, keys: Sequence[str], gap_seconds: int, order: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from stockline.operators.scan import Running, numbered, running, time_slice
-from stockline.operators.telemetry import KEPT_THROTTLES, gap_sessions, is_success
+from stockline.operators.telemetry import gap_sessions, is_success
 from stockline.session import cut
 
 REQUEST_LIMIT = 200
@@ -222,9 +222,8 @@ def user_throttle_stats(requests: DataFrame, as_of, base: int = REQUEST_LIMIT) -
         return sessions.groupBy("user_id").agg(F.max_by(F.struct("n", "last"), "session").alias("s")).select(
             "user_id", F.when(moment - F.unix_micros("s.last") < memory, F.col("s.n")).otherwise(0).alias(name))
 
-    recent = past.groupBy("user_id").agg(F.least(F.count_if(
-        (F.col("status_code") == 429) & (F.unix_micros("ts") > moment - CALM_SECONDS * 1_000_000)),
-        F.lit(KEPT_THROTTLES)).alias("recent_429s_5m"))
+    recent = past.groupBy("user_id").agg(F.count_if(
+        (F.col("status_code") == 429) & (F.unix_micros("ts") > moment - CALM_SECONDS * 1_000_000)).alias("recent_429s_5m"))
     last = adaptive_limits(past, base).groupBy("user_id").agg(
         F.max_by(F.struct("factor", "changed_at"), F.struct(*_ORDER)).alias("s"))
     factor = F.when(moment - F.col("s.changed_at") < memory, F.col("s.factor")).otherwise(1.0)

@@ -165,11 +165,11 @@ def last_n_values(spark, sf_dir):
     return tm.last_n_values(fx.metric_events(spark, sf_dir), ["label"], 200).select("name", "label", "seq")
 
 
-@query(_LAST + """
+@query(with_views("metric_events", """
     SELECT name, label, count(*) AS count, CAST(min(value) AS DOUBLE) AS min, CAST(max(value) AS DOUBLE) AS max,
-           CAST(sum(value) AS DOUBLE)/count(*) AS avg FROM last GROUP BY name, label""")
+           CAST(sum(value) AS DOUBLE)/count(*) AS avg FROM metric_events GROUP BY name, label"""))
 def histogram_stats(spark, sf_dir):
-    stats = tm.histogram_stats(fx.metric_events(spark, sf_dir), ["label"], 200)
+    stats = tm.histogram_stats(fx.metric_events(spark, sf_dir), ["label"])
     return stats.withColumns({"min": F.col("min").cast("double"), "max": F.col("max").cast("double")})
 
 
@@ -240,7 +240,7 @@ def latency_report(spark, sf_dir):
 
 
 @query(with_views("requests", """
-    SELECT r.request_id, r.user_id, least(count(h.request_id),101) AS recent_429s
+    SELECT r.request_id, r.user_id, count(h.request_id) AS recent_429s
     FROM requests r LEFT JOIN requests h ON h.user_id=r.user_id AND h.status_code=429 AND h.ts<=r.ts
          AND h.ts>r.ts-INTERVAL 1 DAY GROUP BY r.request_id, r.user_id"""))
 def recent_throttles(spark, sf_dir):
@@ -332,8 +332,8 @@ _AS_OF = "2024-02-21 15:30:00"
            CAST(trunc(coalesce(f.f,1.0)*200) AS INT) AS effective_limit,
            coalesce((SELECT n FROM live l WHERE l.user_id=u.user_id AND hit),0) AS count_429_1h,
            coalesce((SELECT n FROM live l WHERE l.user_id=u.user_id AND NOT hit),0) AS success_count_1h,
-           least((SELECT count(*) FROM r WHERE r.user_id=u.user_id AND status_code=429 AND ts<=TIMESTAMP '{_AS_OF}'
-                  AND ts>TIMESTAMP '{_AS_OF}'-INTERVAL 5 MINUTE),101) AS recent_429s_5m
+           (SELECT count(*) FROM r WHERE r.user_id=u.user_id AND status_code=429 AND ts<=TIMESTAMP '{_AS_OF}'
+                  AND ts>TIMESTAMP '{_AS_OF}'-INTERVAL 5 MINUTE) AS recent_429s_5m
     FROM (SELECT DISTINCT user_id FROM r WHERE ts<=TIMESTAMP '{_AS_OF}') u LEFT JOIN f ON f.user_id=u.user_id""")
 def user_throttle_stats(spark, sf_dir):
     return th.user_throttle_stats(squeezed_requests(spark, sf_dir), F.lit(_AS_OF).cast("timestamp"))
