@@ -33,8 +33,8 @@ from stockline.llm.common import texts, worker_value
 
 BLANK = "▁"
 VARIANTS = 4
-#: (segment, variant) pairs a worker keeps at most; beyond it starts afresh.
-KEPT_SEGMENTS = 500_000
+#: (segment, variant) pairs a worker keeps in each of two generations; a full one becomes the older one.
+KEPT_SEGMENTS = 300_000
 _SEGMENTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _MASK = (1 << 64) - 1
 
@@ -67,6 +67,7 @@ class PieceVocabulary:
                     for i, p in enumerate(self.pieces)]
         self.seed, self.below = seed & _MASK, int(rate * (1 << 64))
         self.kept: dict[tuple[str, int], bytes] = {}
+        self.older: dict[tuple[str, int], bytes] = {}
 
     def skipped(self, key: int, start: int, middle: int, end: int) -> bool:
         """The keyed hash of a candidate merge, against the dropout rate."""
@@ -132,10 +133,12 @@ class PieceVocabulary:
                 key = segment, at
                 ids = self.kept.get(key)
                 if ids is None:
-                    ids = self.segment_ids(segment, at)
+                    ids = self.older.get(key)
+                    if ids is None:
+                        ids = self.segment_ids(segment, at)
                     if len(segment) <= 64:
                         if len(self.kept) >= KEPT_SEGMENTS:
-                            self.kept.clear()
+                            self.older, self.kept = self.kept, {}
                         self.kept[key] = ids
                 done.append(ids)
         return b"".join(done)
