@@ -23,13 +23,14 @@ HEADLINE = ["bulk_sync", "sync_summary", "sync_progress", "stock_ledger", "apply
 def main() -> None:
     from stockline import fixtures
     from stockline.registry import registered
-    from stockline.session import build_session
+    from stockline.session import build_session, provide_shared_folder
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("stockline-bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
+    provide_shared_folder(spark)
     queries = {name: query for name, (query, _) in registered().items()}
     only = sys.argv[1:] or HEADLINE
     fixtures.export(spark, sf_dir).write.format("noop").mode("overwrite").save()
