@@ -7,6 +7,9 @@ same seed gives the same segmentation on any cluster, another seed another one,
 segment's variant follows from the document's id and the segment's place, one of ``VARIANTS``, so repeated words are
 segmented in varied ways and a worker still meets most (segment, variant) pairs again.
 
+A worker takes texts in blocks and settles the pairs it does not hold together: words have their agendas in arrays and
+each step takes the best candidate of every word; longer segments have a heap each. Both give the same pieces.
+
 No piece holds a blank after another character, so merges never cross the start of a word and each segment is
 encoded by itself. Characters without a piece are written as bytes; so is the mark that stands for a blank where the
 text itself has it, which makes decoding exact for every text.
@@ -23,18 +26,23 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import cycle, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from stockline.llm.common import texts, worker_value
+from stockline.llm.common import BLOCK_BYTES, mix, texts, worker_value
 
 BLANK = "▁"
 VARIANTS = 4
 #: (segment, variant) pairs a worker keeps in each of two generations; a full one becomes the older one.
 KEPT_SEGMENTS = 300_000
+#: Characters of the segments that are remembered; of those that are merged in arrays, and how many of these at once.
+REMEMBERED, WORD, WORDS_AT_ONCE = 64, 24, 20_000
+_LITERAL = ("", 0)
 _SEGMENTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _MASK = (1 << 64) - 1
 
@@ -65,9 +73,30 @@ class PieceVocabulary:
         byte_of = {i: b for b, i in self.byte_ids.items()}
         self.raw = [bytes([byte_of[i]]) if i in byte_of else p.replace(BLANK, " ").encode("utf-8")
                     for i, p in enumerate(self.pieces)]
-        self.seed, self.below = seed & _MASK, int(rate * (1 << 64))
+        self.seed, self.below = seed & _MASK, min(int(rate * (1 << 64)), _MASK)
+        self.literal = array("I", [self.byte_ids[b] for b in BLANK.encode()]).tobytes()
         self.kept: dict[tuple[str, int], bytes] = {}
         self.older: dict[tuple[str, int], bytes] = {}
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """Pieces as codes (other characters follow them), and which two codes make which piece."""
+        code = {piece: k for k, piece in enumerate(self.ids)}
+        self.piece_ids = np.array(list(self.ids.values()), np.uint32)
+        self.piece_scores = np.array([self.scores[p] for p in code], np.float64)
+        self.char_codes = np.arange(0x110000, dtype=np.int64) + len(code)
+        for piece, k in code.items():
+            if len(piece) == 1:
+                self.char_codes[ord(piece)] = k
+        made = {}
+        for piece, k in code.items():
+            for cut in range(1, len(piece)):
+                left, right = (code.get(x, int(self.char_codes[ord(x)]) if len(x) == 1 else None)
+                               for x in (piece[:cut], piece[cut:]))
+                if left is not None and right is not None:
+                    made[left << 21 | right] = k
+        pairs = sorted(made.items()) or [(-1, 0)]
+        self.pair_keys, self.pair_codes = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
 
     def skipped(self, key: int, start: int, middle: int, end: int) -> bool:
         """The keyed hash of a candidate merge, against the dropout rate."""
@@ -118,30 +147,100 @@ class PieceVocabulary:
                 ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
         return ids.tobytes()
 
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that two neighbours make and its score; none scores least."""
+        wanted = left << 21 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        code = self.pair_codes[at]
+        return code, np.where(self.pair_keys[at] == wanted, self.piece_scores[code], -np.inf)
+
+    def words_ids(self, words: list[tuple[str, int]]) -> list[bytes]:
+        """The ids of some words: every step settles the best candidate, leftmost of equals, of each word's agenda."""
+        n, size = len(words), np.array([len(w) for w, _ in words])
+        width = int(size.max())
+        chars = np.array([w for w, _ in words], f"<U{width}").view(np.uint32).reshape(n, width)
+        sums = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) * VARIANTS + v for w, v in words], np.uint64)
+        keys = mix(sums + np.uint64(self.seed))
+        place = np.arange(width)
+        codes, alive = self.char_codes[chars], place < size[:, None]
+        after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+        made, agenda = np.zeros((n, width), np.int64), np.full((n, width), -np.inf)
+        if width > 1:
+            made[:, :-1], offered = self._offers(codes[:, :-1], codes[:, 1:])
+            agenda[:, :-1] = np.where(alive[:, 1:], offered, -np.inf)
+        rows = np.arange(n)
+        while len(rows):
+            now = agenda[rows]
+            left = now.argmax(axis=1)
+            going = now[np.arange(len(rows)), left] > -np.inf
+            rows, left = rows[going], left[going]
+            right = after[rows, left]
+            end = after[rows, right]
+            agenda[rows, left] = -np.inf
+            spot = (left << 42 | right << 21 | end).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            merged = mix(keys[rows] ^ spot) >= np.uint64(self.below) if self.below else np.ones(len(rows), bool)
+            r, left, right, end = rows[merged], left[merged], right[merged], end[merged]
+            alive[r, right], agenda[r, right] = False, -np.inf
+            codes[r, left], after[r, left] = made[r, left], end
+            more = end < size[r]
+            a, at, to = r[more], left[more], end[more]
+            before[a, to] = at
+            made[a, at], agenda[a, at] = self._offers(codes[a, at], codes[a, to])
+            more = left > 0
+            a, at = r[more], left[more]
+            to = before[a, at]
+            made[a, to], agenda[a, to] = self._offers(codes[a, to], codes[a, at])
+        known = codes < len(self.piece_ids)
+        whole = (known | ~alive).all(axis=1)
+        ids = self.piece_ids[np.where(known, codes, 0)[alive]].tobytes()
+        ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
+        return [ids[a:b] if one else self.segment_ids(*word) for a, b, one, word in
+                zip([0, *ends], ends, whole.tolist(), words, strict=False)]
+
+    def _settle(self, wanted: set[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
+        """Remember the ids of all wanted pairs; those too long to be remembered are returned."""
+        for pair in wanted & self.older.keys():
+            self.kept[pair] = self.older[pair]
+        new = wanted - self.kept.keys()
+        words = sorted((p for p in new if len(p[0]) <= WORD), key=lambda p: len(p[0]))
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some = words[k:k + WORDS_AT_ONCE]
+            self.kept.update(zip(some, self.words_ids(some), strict=True))
+        once = {}
+        for pair in new:
+            if len(pair[0]) > WORD:
+                (self.kept if len(pair[0]) <= REMEMBERED else once)[pair] = self.segment_ids(*pair)
+        return once
+
+    def _segments(self, text: str, doc_id: int) -> list[tuple[str, int]]:
+        """The segments of a text, each with its variant."""
+        pairs, at = [], _mixed((doc_id & _MASK) ^ self.seed) % VARIANTS + 1
+        for k, part in enumerate(text.split(BLANK) if text else []):
+            if k:
+                pairs.append(_LITERAL)
+            found = _SEGMENTS.findall((BLANK if not k else "") + part.replace(" ", BLANK))
+            pairs.extend(zip(found, islice(cycle(range(VARIANTS)), at % VARIANTS, None), strict=False))
+            at += len(found)
+        return pairs
+
+    def encode_all(self, some: list[str], doc_ids: list[int]) -> Iterator[bytes]:
+        """The ids of each text, four bytes each; texts are taken in blocks of bounded size."""
+        first = 0
+        while first < len(some):
+            end, taken = first + 1, len(some[first])
+            while end < len(some) and (taken := taken + len(some[end])) <= BLOCK_BYTES:
+                end += 1
+            block = [self._segments(*x) for x in zip(some[first:end], doc_ids[first:end], strict=True)]
+            once = self._settle(set().union(*block) - {_LITERAL}) | {_LITERAL: self.literal}
+            for pairs in block:
+                yield b"".join([once[p] if p in once else self.kept[p] for p in pairs])
+            if len(self.kept) >= KEPT_SEGMENTS:
+                self.older, self.kept = self.kept, {}
+            first = end
+
     def encode(self, text: str, doc_id: int = 0) -> bytes:
         """The ids of a text, four bytes each."""
-        if not text:
-            return b""
-        literal = array("I", [self.byte_ids[b] for b in BLANK.encode()]).tobytes()
-        done, at = [], _mixed((doc_id & _MASK) ^ self.seed) % VARIANTS
-        for k, part in enumerate(text.split(BLANK)):
-            if k:
-                done.append(literal)
-            part = (BLANK if not k else "") + part.replace(" ", BLANK)
-            for segment in _SEGMENTS.findall(part):
-                at = (at + 1) % VARIANTS
-                key = segment, at
-                ids = self.kept.get(key)
-                if ids is None:
-                    ids = self.older.get(key)
-                    if ids is None:
-                        ids = self.segment_ids(segment, at)
-                    if len(segment) <= 64:
-                        if len(self.kept) >= KEPT_SEGMENTS:
-                            self.older, self.kept = self.kept, {}
-                        self.kept[key] = ids
-                done.append(ids)
-        return b"".join(done)
+        return next(self.encode_all([text], [doc_id]))
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids: pieces joined, bytes put together, blanks shown, the first one dropped."""
@@ -157,8 +256,8 @@ def encode_documents(docs: DataFrame, path: str, seed: int, rate: float) -> Data
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = piece_vocabulary(path, seed, rate)
         for batch in batches:
-            ids = [array("I", known.encode(t, i or 0)) for t, i in
-                   zip(texts(batch["text"]), batch["doc_id"].to_pylist(), strict=True)]
+            ids = [array("I", found) for found in
+                   known.encode_all(texts(batch["text"]), [i or 0 for i in batch["doc_id"].to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
@@ -185,8 +284,8 @@ def round_trip(docs: DataFrame, path: str, seed: int, rate: float) -> DataFrame:
         known = piece_vocabulary(path, seed, rate)
         for batch in batches:
             rows = []
-            for text, doc_id in zip(texts(batch["text"]), batch["doc_id"].to_pylist(), strict=True):
-                ids = known.encode(text, doc_id or 0)
+            some = texts(batch["text"])
+            for text, ids in zip(some, known.encode_all(some, [i or 0 for i in batch["doc_id"].to_pylist()]), strict=True):
                 raw, decoded = text.encode("utf-8"), known.decode(ids)
                 rows.append((len(raw), len(ids) // 4, zlib.crc32(ids),
                              hashlib.sha256(decoded.encode("utf-8")).hexdigest(), decoded == text))

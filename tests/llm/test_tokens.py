@@ -125,6 +125,17 @@ def test_agenda_matches_the_slow_way():
         assert known.merge(segment, 2) == slow_merge(known, segment, 2)
 
 
+def test_arrays_match_the_agenda():
+    rng = random.Random(6)
+    for rate in (0.0, 0.2, 1.0):
+        known = PieceVocabulary(PIECE, 11, rate)
+        words = [("".join(rng.choice("thenaiodrs▁é一\U0001F600\0") for _ in range(rng.randrange(1, 24))), rng.randrange(4))
+                 for _ in range(300)]
+        assert known.words_ids(words) == [known.segment_ids(*word) for word in words]
+    text = " ".join(w.replace("▁", "") for w, _ in words) + " ▁ " + "x" * 100
+    assert known.decode(known.encode(text, 3)) == text and known.encode("") == b""
+
+
 def test_dropout_varies_and_decodes(spark):
     first, again, other = (
         {(r.doc_id, r.ids_crc32) for r in round_trip(docs(spark), PIECE, seed, 0.2).collect()} for seed in (1, 1, 2))
