@@ -47,7 +47,14 @@ FALSE_TEXTS = ["false", "0", "no", "off", ""]
 
 
 def parse(properties: Column) -> Column:
-    return F.from_json(properties, "map<string,variant>")
+    """The members of a JSON object; of a repeated key the last one counts (a session setting). Null if it is
+    none."""
+    return F.map_from_entries(F.map_entries(F.from_json(properties, "map<string,variant>")))
+
+
+def is_broken(properties: Column) -> Column:
+    """Whether a text is there that is no JSON object."""
+    return (~F.coalesce(F.trim(properties), F.lit("")).isin("", "null")) & parse(properties).isNull()
 
 
 def _type(value: Column) -> Column:
@@ -196,8 +203,9 @@ def outbound_map(values: Column) -> Column:
 
 
 def merge_properties(old: Column, patch: Column) -> Column:
-    """Key-wise merge of two JSON texts: values of the patch win unless they are null."""
+    """Key-wise merge of two JSON texts: values of the patch win unless they are null. An old text that
+    is no JSON object stays as it is."""
     merged = F.map_zip_with(
         F.coalesce(parse(old), parse(F.lit("{}"))), parse(patch),
         lambda key, before, after: F.when(after.isNull() | F.is_variant_null(after), before).otherwise(after))
-    return F.to_json(F.map_filter(merged, lambda key, value: value.isNotNull()))
+    return F.when(is_broken(old), old).otherwise(F.to_json(F.map_filter(merged, lambda key, value: value.isNotNull())))

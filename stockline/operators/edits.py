@@ -53,6 +53,13 @@ def collapse_patches(patches: DataFrame, order: str) -> DataFrame:
 
 
 def _with_patch(inventory: DataFrame, patches: DataFrame, how: str) -> DataFrame:
+    """Items with their patch. Two patches of an item stop the job, as nothing tells which is the later
+    one: ``collapse_patches`` makes one of them first."""
+    key = ["item_id", "user_id"]
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(
+        F.lit("several patches of item "), F.max(F.col("item_id").cast("string")))).cast("boolean"))
+    patches = (patches.groupBy(*key).agg(*[F.first(f).alias(f) for f in PATCH_FIELDS], single.alias("_several"))
+               .where(F.col("_several").isNull()))
     renamed = patches.select(F.col("item_id").alias("id"), "user_id",
                              *[F.col(f).alias(f"patch_{f}") for f in PATCH_FIELDS], F.lit(True).alias("_patched"))
     return inventory.join(renamed, ["id", "user_id"], how)
@@ -102,6 +109,15 @@ def detect_changes(inventory: DataFrame, patches: DataFrame) -> DataFrame:
                     (linked & any_changed).alias("sync_needed")))
 
 
+def broken_properties(inventory: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches whose properties can't be merged, as those of the item are no JSON object. The item's other
+    fields are patched, its properties stay."""
+    hit = patches.where(F.col("properties").isNotNull()).select("user_id", F.col("item_id").alias("id"))
+    items = inventory.where(props.is_broken(F.col("properties"))).select("user_id", "id")
+    return items.join(hit, ["user_id", "id"], "left_semi").select(
+        "user_id", F.col("id").alias("item_id"), F.lit("Stored properties are no JSON object").alias("error"))
+
+
 def build_update_payload(items: DataFrame) -> DataFrame:
     """Outbound update record of each item, as JSON in ``body``; ``status`` is queued, skipped or, where
     the stock id is no number, error.

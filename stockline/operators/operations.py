@@ -24,6 +24,28 @@ def start_guard(requests: DataFrame, settings: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
+def started_operations(operations: DataFrame, allowed: DataFrame, op_type: str = "bulk_sync") -> DataFrame:
+    """The log with a pending operation per allowed request (user_id, operation_id)."""
+    new = allowed.select("user_id", "operation_id", F.lit(op_type).alias("operation_type"),
+                         F.lit("pending").alias("status"), F.current_timestamp().alias("created_at"))
+    return insert_operations(operations, new)
+
+
+def moved_settings(settings: DataFrame, sellers: DataFrame, status: str, now: Column,
+                   error: str | None = None) -> DataFrame:
+    """The settings after ``sellers`` (user_id) went to ``status``: active also sets the time of the
+    last import and clears the error, error sets its text."""
+    moved = sellers.select("user_id").distinct().withColumn("_moved", F.lit(True))
+    given = F.col("_moved").isNotNull()
+    changes = {"sync_status": F.lit(status), "updated_at": now}
+    if status == "active":
+        changes |= {"last_sync_at": now, "last_error": F.lit(None).cast("string")}
+    if status == "error":
+        changes["last_error"] = F.lit(error)
+    return settings.join(moved, "user_id", "left").withColumns({
+        name: F.when(given, value).otherwise(F.col(name)) for name, value in changes.items()}).select(*settings.columns)
+
+
 def operation_access(requests: DataFrame, operations: DataFrame) -> DataFrame:
     """Whether a requester (requester_id) may see an operation (operation_id)."""
     joined = requests.join(

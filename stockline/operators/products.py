@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stockline.operators.scan import keep_one, number_slice, numbered
 
@@ -67,9 +68,16 @@ def last_write(export: DataFrame, keys: Sequence[str], order: str = "seq") -> Da
     return keep_one(export, keys, F.col(order).desc())
 
 
+def _slice(export: DataFrame, order: str) -> Column:
+    """Places in files are cut by block, numbers by range."""
+    if isinstance(export.schema[order].dataType, StructType):
+        return F.struct(f"{order}.file", f"{order}.block")
+    return number_slice(F.col(order))
+
+
 def chunk_index(export: DataFrame, size: int = CHUNK_SIZE, order: str = "seq") -> DataFrame:
     """Position of each row in its seller's export, its chunk and the seller's number of chunks."""
-    placed = numbered(export, ["user_id"], [order], number_slice(F.col(order)))
+    placed = numbered(export, ["user_id"], [order], _slice(export, order))
     totals = export.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("total_chunks"))
     totals = totals.withColumnRenamed("user_id", "_seller")
     # Rows without a seller are chunked together.

@@ -22,16 +22,22 @@ from pyspark.sql import functions as F
 from stockline.operators.scan import Running, numbered, running, time_slice
 from stockline.session import cut
 
+# Reasons for which a request is refused.
 NOT_FOUND = "Inventory item not found"
+NO_SETTINGS = "User not found in sync settings"
+NO_TOKEN = "no token"
 _ITEM = ["item_id"]
 _ORDER = ["ts", "request_id"]
 
 
-def remote_stock(export: DataFrame) -> DataFrame:
-    """Remote quantity per (seller, stock id)."""
+def remote_stock(export: DataFrame, order: str = "seq") -> DataFrame:
+    """Remote quantity per (seller, stock id). Of a repeated product the last row counts, as in an
+    import; without an ``order`` column it is the one with the largest quantity. No quantity is 0."""
+    quantity = F.coalesce("quantity", F.lit(0))
+    last = F.max_by(quantity, F.struct(order, quantity)) if order in export.columns else F.max(quantity)
     return (export.where(F.col("id").isNotNull())
             .groupBy("user_id", F.col("id").cast("string").alias("external_stock_id"))
-            .agg(F.max("quantity").cast("long").alias("remote_quantity")))
+            .agg(last.cast("long").alias("remote_quantity")))
 
 
 def check_availability(ids: DataFrame, export: DataFrame) -> DataFrame:
@@ -62,12 +68,14 @@ def _round(rows: DataFrame, stock: Column, label: str) -> tuple[DataFrame, DataF
     return decided, sold
 
 
-def decide_purchases(requests: DataFrame, inventory: DataFrame, export: DataFrame) -> DataFrame:
+def decide_purchases(requests: DataFrame, inventory: DataFrame, export: DataFrame,
+                     settings: DataFrame | None = None) -> DataFrame:
     """One row per request: outcome, quantities before and after, and the remote action it causes.
 
-    ``requests`` has request_id (unique), item_id, user_id, quantity (at least 1) and ts. The
-    requests with their items and each round's answers are written once, as later steps read them
-    several times.
+    ``requests`` has request_id (unique), item_id, user_id, quantity (at least 1) and ts. With
+    ``settings`` (user_id, has_token), requests to sellers without settings or token are refused and
+    leave the stock alone; one that the local stock can't meet says so first. The requests with their
+    items and each round's answers are written once, as later steps read them several times.
     """
     items = (inventory.select(F.col("id").alias("item_id"), "user_id", "external_stock_id",
                               F.col("quantity").cast("long").alias("local"))
@@ -75,8 +83,13 @@ def decide_purchases(requests: DataFrame, inventory: DataFrame, export: DataFram
              .select("item_id", "user_id", "external_stock_id", "local",
                      F.coalesce("remote_quantity", F.lit(0)).cast("long").alias("remote"),
                      F.coalesce(F.col("external_stock_id") != "", F.lit(False)).alias("linked")))
-    wanted = requests.join(items, ["item_id", "user_id"], "left")
-    base = cut(wanted.select(*requests.columns, "external_stock_id", "local", "remote", "linked"), "purchases")
+    wanted = requests.join(items, ["item_id", "user_id"], "left").withColumn("refusal", F.lit(None).cast("string"))
+    if settings is not None:
+        token = settings.select("user_id", F.coalesce("has_token", F.lit(False)).alias("_token"))
+        wanted = wanted.join(token, "user_id", "left").withColumn(
+            "refusal", F.when(F.col("_token").isNull(), NO_SETTINGS).when(~F.col("_token"), NO_TOKEN))
+    wanted = wanted.withColumn("linked", F.col("linked") & F.col("refusal").isNull())
+    base = cut(wanted.select(*requests.columns, "external_stock_id", "local", "remote", "linked", "refusal"), "purchases")
     live = base.where(F.col("linked"))
     rest = base.where(~F.coalesce("linked", F.lit(False)))
 
@@ -136,26 +149,34 @@ def _serve_rest(candidates: DataFrame) -> DataFrame:
 
 
 def _unlinked(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests for unknown items, or for items without a remote product: nothing is ever sold."""
+    """Requests for unknown items, for items without a remote product, or to sellers without settings
+    or token: nothing is ever sold."""
     missing = F.col("local").isNull()
     short = F.col("local") < F.col("quantity")
+    product = F.when(F.col("external_stock_id") != "", F.col("external_stock_id"))
     error = (F.when(missing, NOT_FOUND)
              .when(short, F.concat(F.lit("Insufficient quantity. Available: "), F.col("local").cast("string"),
                                    F.lit(", Requested: "), F.col("quantity").cast("string")))
-             .otherwise("Missing external_stock_id"))
+             .when(product.isNull(), "Missing external_stock_id").otherwise(F.col("refusal")))
+    refused = ~short & product.isNotNull()
     return rows.select(
-        *requests.columns, F.lit(None).cast("string").alias("external_stock_id"),
-        F.when(missing, "not_found").otherwise("error").alias("status"),
+        *requests.columns, product.alias("external_stock_id"),
+        F.when(missing, "not_found").when(refused, "refused").otherwise("error").alias("status"),
         F.col("local").alias("quantity_before"), F.col("local").alias("quantity_after"),
         F.lit(0).cast("long").alias("quantity_purchased"), error.alias("error"),
         F.lit(None).cast("string").alias("remote_action"), F.lit(None).cast("long").alias("remote_delta"))
 
 
-def settle_purchases(inventory: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The inventory after the decided purchases: each item's quantity after its last request."""
+def settle_purchases(inventory: DataFrame, decisions: DataFrame, now: Column | None = None) -> DataFrame:
+    """The inventory after the decided purchases: each item's quantity after its last request.
+
+    ``now`` becomes the ``updated_at`` of the items whose quantity differs.
+    """
     last = (decisions.where(F.col("quantity_after").isNotNull()).groupBy(F.col("item_id").alias("id"))
             .agg(F.max_by("quantity_after", F.struct("ts", "request_id")).alias("_after")))
     kind = inventory.schema["quantity"].dataType
-    return (inventory.join(last, "id", "left")
-            .withColumn("quantity", F.coalesce(F.col("_after").cast(kind), F.col("quantity")))
-            .select(*inventory.columns))
+    after = F.coalesce(F.col("_after").cast(kind), F.col("quantity"))
+    changes = {"quantity": after}
+    if now is not None:
+        changes["updated_at"] = F.when(after.eqNullSafe(F.col("quantity")), F.col("updated_at")).otherwise(now)
+    return inventory.join(last, "id", "left").withColumns(changes).select(*inventory.columns)

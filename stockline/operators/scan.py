@@ -3,13 +3,12 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` sends each key to one task. Here every group is
 cut into *slices*, which must rise with the row order (an hour of event time, a range of sequence
 numbers). Totals run inside each slice, the few slice totals of a key are accumulated, and the
-result is carried back to the rows:
+result is carried back to the rows (a null key is a key like any other):
 
     rows --exchange(key, slice)--> totals inside the slice ---------------+
     rows --partial aggregate--> one row per (key, slice) --> carried in --+--> join --> result
 
 The rows cross the network once, spread over (key, slice); a hot key costs one small row per slice.
-Keys must not be null.
 """
 
 from __future__ import annotations
@@ -77,7 +76,9 @@ def running(
         _AGGREGATE[v.kind](f"_total_{n}").over(before).alias(f"_carried_{n}")
         for n, v in values.items()
     ])
-    return local.join(carried, group, "left").select(
+    renamed = carried.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    return local.join(renamed, same, "left").select(
         *[F.col(c) for c in rows.columns],
         *[_combine(v.kind, F.col(f"_carried_{n}"), F.col(n)).alias(n) for n, v in values.items()],
     )

@@ -1,18 +1,24 @@
 """End-to-end jobs: read the stored tables, run one plan, write the next snapshot and the outbox.
 
 Inventory lives in numbered snapshots (``sources.writers``). A job reads the newest one and writes
-the next; run again after a failure it starts from the same snapshot and overwrites its own output.
+the next; run again after a failure it starts from the newest snapshot again. Of two jobs that started
+from the same snapshot the second to finish gets ``VersionTaken``, and must be run again. Outbound
+records are written before the snapshot is named, to a folder named by the job's owner: send those of
+the owner that the version's record names.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockline import schemas
 from stockline.operators import edits, purchases
 from stockline.operators.catalog import resolve_catalog
-from stockline.operators.operations import complete_operations
+from stockline.operators.operations import complete_operations, moved_settings, start_guard, started_operations
 from stockline.operators.products import chunk_index
 from stockline.plans import bulk
 from stockline.plans import reconcile as rec
@@ -26,18 +32,26 @@ def _load(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return writers.read_snapshot(spark, path, schemas.INVENTORY, version), version
 
 
+def _owner() -> str:
+    return uuid.uuid4().hex
+
+
 def _store(inventory: DataFrame, path: str, version: int) -> None:
-    """Number the new rows and write the next snapshot."""
+    """Number the new rows, from the highest id ever given, and write the next snapshot."""
     fresh = cut(inventory, "inventory")
-    last = fresh.agg(F.max("id")).first()[0] or 0
-    writers.write_inventory(bulk.assign_ids(fresh, last + 1), path, version + 1)
+    last = writers.last_id(inventory.sparkSession, path)
+    writers.write_inventory(bulk.assign_ids(fresh, last + 1), path, version + 1, _owner())
 
 
 def run_import(spark: SparkSession, export_path: str, catalog_path: str, inventory_path: str,
-               multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Import all exports; returns (summary per seller, progress per batch of chunks)."""
+               multiline: bool = True, sellers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Import all exports, or those of ``sellers`` (user_id); returns (summary per seller, progress per
+    batch of chunks)."""
     inventory, version = _load(spark, inventory_path)
-    export = cut(readers.read_export(spark, export_path, multiline=multiline), "export")
+    rows = readers.read_export(spark, export_path, multiline=multiline)
+    if sellers is not None:
+        rows = rows.join(sellers.select("user_id").distinct(), "user_id", "left_semi")
+    export = cut(rows, "export")
     resolved = resolve_catalog(readers.read_catalog(spark, catalog_path))
     outcomes = bulk.classify_export(chunk_index(export), resolved, inventory)
     chunks = cut(bulk.chunk_summary(outcomes), "chunks")
@@ -60,11 +74,55 @@ def finish_operations(operations: DataFrame, summary: DataFrame, completed_at) -
     return complete_operations(operations, results)
 
 
+@dataclass(frozen=True)
+class Import:
+    """Result of ``run_requested_import``; ``failure`` is its error, ``progress`` is null then."""
+
+    answers: DataFrame
+    settings: DataFrame
+    operations: DataFrame
+    progress: DataFrame | None
+    failure: str | None
+
+
+def run_requested_import(spark: SparkSession, requests: DataFrame, settings: DataFrame, operations: DataFrame,
+                         export_path: str, catalog_path: str, inventory_path: str, multiline: bool = True) -> Import:
+    """Import for the sellers who ask and may: operations are entered, and sellers and operations move
+    with the import.
+
+    ``requests`` has user_id, operation_id and force. ``answers`` tells who was refused and why.
+    Allowed sellers become active, or error if the import fails, and then their operations stay
+    pending. A seller without any product is done with zero of everything. The sellers stand in
+    initial_sync only while the job runs; a caller that shows them meanwhile writes ``started``.
+    """
+    answers = cut(start_guard(requests, settings), "answers")
+    allowed = answers.where("allowed")
+    pending = started_operations(operations, allowed)
+    try:
+        counted, progress = run_import(spark, export_path, catalog_path, inventory_path, multiline, allowed)
+    except Exception as failure:
+        after = moved_settings(settings, allowed, "error", F.current_timestamp(), str(failure))
+        return Import(answers, after, pending, None, str(failure))
+    sellers = allowed.select("user_id").distinct()
+    summary = sellers.join(counted, "user_id", "left").na.fill(0)
+    asked = allowed.select("operation_id").distinct()
+    done = finish_operations(pending.join(asked, "operation_id", "left_semi"), summary, F.current_timestamp())
+    others = pending.join(asked, "operation_id", "left_anti")
+    return Import(answers, moved_settings(settings, allowed, "active", F.current_timestamp()),
+                  others.unionByName(done.select(others.columns)), progress, None)
+
+
+def started(settings: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The settings while the import of ``allowed`` sellers runs."""
+    return moved_settings(settings, allowed, "initial_sync", F.current_timestamp())
+
+
 def run_reconcile(spark: SparkSession, export_path: str, catalog_path: str, inventory_path: str,
-                  multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Bring the inventory in line with the remote export; returns (summary, errors)."""
+                  multiline: bool = True, blueprint_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bring the inventory in line with the remote export, or with what it says of one blueprint;
+    returns (summary, errors)."""
     inventory, version = _load(spark, inventory_path)
-    export = readers.read_export(spark, export_path, multiline=multiline)
+    export = readers.read_export(spark, export_path, blueprint_id=blueprint_id, multiline=multiline)
     resolved = resolve_catalog(readers.read_catalog(spark, catalog_path))
     outcomes = cut(rec.reconcile_outcomes(export, resolved, inventory), "outcomes")
     _store(rec.reconcile(outcomes, inventory, F.current_timestamp()), inventory_path, version)
@@ -73,15 +131,21 @@ def run_reconcile(spark: SparkSession, export_path: str, catalog_path: str, inve
 
 def run_edits(spark: SparkSession, patches: DataFrame, inventory_path: str, outbox_path: str,
               order: str = "seq") -> DataFrame:
-    """Apply all valid patches and queue the items that must be sent out; returns refused patches."""
+    """Apply all valid patches and queue the items that must be sent out; returns refused patches.
+
+    Items whose stored properties are no JSON object keep them (``edits.broken_properties`` lists those
+    patches).
+    """
     inventory, version = _load(spark, inventory_path)
     checked = cut(edits.validate_patch(patches), "patches")
     valid = edits.collapse_patches(checked.where(F.size("errors") == 0), order)
     changes = edits.detect_changes(inventory, valid)
     edited = cut(edits.apply_patches(inventory, valid, F.current_timestamp()), "edited")
     due = edited.join(changes.where("sync_needed").select("id"), "id", "left_semi")
-    writers.write_outbox(writers.update_outbox(edits.build_update_payload(due)), f"{outbox_path}/update={version + 1}")
-    writers.write_inventory(edited, inventory_path, version + 1)
+    owner = _owner()
+    writers.write_outbox(writers.update_outbox(edits.build_update_payload(due)),
+                         f"{outbox_path}/update={version + 1}/owner={owner}")
+    writers.write_inventory(edited, inventory_path, version + 1, owner)
     return checked.where(F.size("errors") > 0)
 
 
@@ -89,22 +153,28 @@ def run_deletes(spark: SparkSession, requests: DataFrame, inventory_path: str, o
     """Delete items and queue the remote deletes; returns requests that name no item."""
     inventory, version = _load(spark, inventory_path)
     kept, deleted, missing = edits.delete_items(inventory, requests)
-    writers.write_outbox(writers.delete_outbox(deleted), f"{outbox_path}/delete={version + 1}")
-    writers.write_inventory(kept, inventory_path, version + 1)
+    owner = _owner()
+    writers.write_outbox(writers.delete_outbox(deleted), f"{outbox_path}/delete={version + 1}/owner={owner}")
+    writers.write_inventory(kept, inventory_path, version + 1, owner)
     return missing
 
 
 def run_purchases(spark: SparkSession, requests: DataFrame, export: DataFrame, inventory_path: str,
-                  outbox_path: str) -> DataFrame:
-    """Decide purchases, lower the stock and queue the remote changes; returns the decisions."""
+                  outbox_path: str, settings: DataFrame | None = None) -> DataFrame:
+    """Decide purchases, lower the stock and queue the remote changes; returns the decisions.
+
+    With ``settings``, sellers without settings or token sell nothing.
+    """
     inventory, version = _load(spark, inventory_path)
-    decided = cut(purchases.decide_purchases(requests, inventory, export), "decided")
+    decided = cut(purchases.decide_purchases(requests, inventory, export, settings), "decided")
     product = F.expr("try_cast(external_stock_id as bigint)")
     remote = decided.where(F.col("remote_action").isNotNull()).select(
         "user_id", "request_id", product.alias("product_id"), F.col("remote_action").alias("action"),
         F.col("remote_delta").alias("delta_quantity"))
-    writers.write_outbox(remote, f"{outbox_path}/purchase={version + 1}")
-    writers.write_inventory(purchases.settle_purchases(inventory, decided), inventory_path, version + 1)
+    owner = _owner()
+    writers.write_outbox(remote, f"{outbox_path}/purchase={version + 1}/owner={owner}")
+    writers.write_inventory(purchases.settle_purchases(inventory, decided, F.current_timestamp()),
+                            inventory_path, version + 1, owner)
     return decided
 
 
@@ -116,5 +186,5 @@ def run_settle(spark: SparkSession, inventory_path: str, ledger_path: str) -> in
     """
     inventory, version = _load(spark, inventory_path)
     writers.write_inventory(settled_inventory(inventory, ledger_path, F.current_timestamp()),
-                            inventory_path, version + 1)
+                            inventory_path, version + 1, _owner())
     return version + 1

@@ -8,8 +8,10 @@ from stockline import fixtures as fx
 from stockline import schemas
 from stockline.operators import edits as ed
 from stockline.operators import events as ev
+from stockline.operators import products as p
 from stockline.functions.signature import signing_pads
 from stockline.operators.ledger import stock_ledger as batch_ledger
+from stockline.plans import jobs
 from stockline.plans.order_flow import accept_events as accept, event_answers, event_deltas
 from stockline.registry.bulk import outcomes
 from stockline.registry.items import condition_sql
@@ -56,6 +58,62 @@ def read_export(spark, sf_dir):
                        F.get_json_object("properties_hash", "$.condition").alias("condition"))
 
 
+@query(with_views("full_export", """
+    , twice AS (SELECT *, 0 AS round FROM full_export
+                UNION ALL SELECT * REPLACE (CAST(quantity+1 AS INT) AS quantity), 1 FROM full_export WHERE seq%3<>0)
+    SELECT CAST(user_id AS VARCHAR) AS user_id, id, blueprint_id, quantity, price_cents, description, user_data_field,
+           graded, properties_hash FROM twice
+    QUALIFY row_number() OVER (PARTITION BY user_id, id ORDER BY round DESC, seq DESC)=1"""))
+def read_export_all(spark, sf_dir):
+    """Several files per seller, with products that come again in a later file."""
+    first = fx.full_export(spark, sf_dir)
+    again = first.where(F.col("seq") % 3 != 0).withColumn("quantity", F.col("quantity") + 1)
+    rows = (first.withColumn("round", F.lit(0)).unionByName(again.withColumn("round", F.lit(1)))
+            .withColumn("user_id", F.col("user_id").cast("string")))
+    placed = rows.repartitionByRange(8, "round", "seq").sortWithinPartitions("user_id", "round", "seq")
+    path = _store(placed.drop("round", "seq"), "export", "json", ["user_id"])
+    read = rd.read_export(spark, path, multiline=False)
+    return p.last_write(read, ["user_id", "id"]).select(
+        "user_id", "id", "blueprint_id", "quantity", "price_cents", "description", "user_data_field", "graded",
+        "properties_hash")
+
+
+@query(with_views("settings outcomes", """
+    , counts AS (SELECT user_id, count(*) AS processed, count(*) FILTER (outcome='created') AS created,
+                        count(*) FILTER (outcome='updated') AS updated, count(*) FILTER (outcome LIKE 'skip%') AS skipped
+                 FROM outcomes GROUP BY user_id)
+    , asked AS (SELECT *, has_token AND (user_id%8=0 OR sync_status NOT IN ('initial_sync','active')) AS allowed FROM settings)
+    SELECT CAST(a.user_id AS VARCHAR) AS user_id, allowed,
+           CASE WHEN NOT has_token THEN 'no token' WHEN NOT allowed THEN 'sync in progress: '||sync_status END AS reason,
+           CASE WHEN allowed THEN 'completed' END AS operation_status,
+           CASE WHEN allowed THEN coalesce(processed,0) END AS processed, CASE WHEN allowed THEN coalesce(created,0) END AS created,
+           CASE WHEN allowed THEN coalesce(updated,0) END AS updated, CASE WHEN allowed THEN coalesce(skipped,0) END AS skipped,
+           CASE WHEN allowed THEN 'active' ELSE sync_status END AS sync_status,
+           CASE WHEN NOT allowed THEN last_error END AS last_error
+    FROM asked a LEFT JOIN counts c ON c.user_id=a.user_id"""))
+def import_lifecycle(spark, sf_dir):
+    """Every seller asks for an import, from guard to completed operation."""
+    export = fx.full_export(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))
+    export_path = _store(export.drop("seq").repartition("user_id"), "export", "json", ["user_id"])
+    catalog_path, inventory_path = scratch_path(spark, "catalog"), scratch_path(spark, "inventory")
+    for name, frame in fx.catalog_tables(spark, sf_dir).items():
+        frame.withColumn("blueprint_id", F.col("blueprint_id").cast("int")).write.parquet(f"{catalog_path}/{name}")
+    wr.write_inventory(fx.full_inventory(spark, sf_dir).withColumn(
+        "external_stock_id", F.col("id").cast("string")), inventory_path, 1)
+    settings = fx.settings(spark, sf_dir).withColumns({
+        "user_id": F.col("user_id").cast("string"), "updated_at": F.lit(None).cast("timestamp")})
+    requests = settings.select("user_id", F.concat(F.lit("import-"), "user_id").alias("operation_id"),
+                               (F.col("user_id").cast("long") % 8 == 0).alias("force"))
+    done = jobs.run_requested_import(spark, requests, settings, spark.createDataFrame([], schemas.OPERATIONS),
+                                     export_path, catalog_path, inventory_path, multiline=False)
+    counts = ["processed", "created", "updated", "skipped"]
+    operations = done.operations.select("operation_id", F.col("status").alias("operation_status"),
+                                        *[f"operation_metadata.{c}" for c in counts])
+    return (done.answers.join(operations, "operation_id", "left")
+            .join(done.settings.select("user_id", "sync_status", "last_error"), "user_id")
+            .select("user_id", "allowed", "reason", "operation_status", *counts, "sync_status", "last_error"))
+
+
 @query(with_views("catalog", "SELECT print_id, table_name, CAST(blueprint_id AS INT) AS blueprint_id, priority FROM catalog"))
 def read_catalog(spark, sf_dir):
     path = scratch_path(spark, "catalog")

@@ -13,7 +13,7 @@ from stockline.operators import listings as ls
 from stockline.operators import purchases as pu
 from stockline.plans import reconcile as rc
 from stockline.registry.bulk import resolved
-from stockline.registry.views import uuid_sql, with_views
+from stockline.registry.views import VIEWS, uuid_sql, with_views
 
 QUERIES = {}
 NOW = "2030-01-01 00:00:00"
@@ -241,13 +241,15 @@ def validate_patch(spark, sf_dir):
 
 _PATCHED = with_views("full_inventory patches", """
     , clean AS (SELECT * REPLACE (CASE WHEN trim(user_data_field)<>'' THEN user_data_field END AS user_data_field)
-                FROM patches)
+                FROM patches WHERE coalesce(quantity,0)>=0 AND coalesce(price_cents,0)>=0
+                  AND NOT (quantity IS NULL AND price_cents IS NULL AND graded IS NULL AND properties IS NULL
+                           AND coalesce(trim(user_data_field),'')=''))
     , j AS (SELECT i.*, p.item_id, p.quantity AS pq, p.price_cents AS pp, p.user_data_field AS pu, p.graded AS pg,
                    p.properties AS pr FROM full_inventory i LEFT JOIN clean p ON i.id=p.item_id)""")
 
 
 def _patches(spark, sf_dir):
-    return ed.validate_patch(fx.patches(spark, sf_dir)).drop("errors")
+    return ed.validate_patch(fx.patches(spark, sf_dir)).where(F.size("errors") == 0).drop("errors")
 
 
 @query(_PATCHED + """
@@ -448,6 +450,30 @@ def settle_purchases(spark, sf_dir):
     return pu.settle_purchases(inventory, decisions).select("id", "quantity")
 
 
+# Every seventh seller has no settings.
+@query(_BUSY.replace("WITH RECURSIVE ", "WITH RECURSIVE settings AS (" + VIEWS["settings"][1] + "), ", 1) + """
+    , c AS (SELECT q.*, s.user_id IS NOT NULL AS known, coalesce(s.has_token,false) AS token FROM q
+            LEFT JOIN settings s ON s.user_id=q.user_id AND s.user_id%7<>0)
+    SELECT c.request_id, c.item_id, CASE WHEN error='Inventory item not found' THEN 'not_found'
+             WHEN error IS NULL THEN 'success' ELSE 'error' END AS status,
+           before AS quantity_before, l AS quantity_after, error
+    FROM walk w JOIN c ON c.item_id=w.item_id AND c.k=w.k WHERE token
+    UNION ALL
+    SELECT request_id, item_id, CASE WHEN l0 IS NULL THEN 'not_found' WHEN l0<quantity OR external_stock_id IS NULL THEN 'error'
+             ELSE 'refused' END, l0, l0,
+           CASE WHEN l0 IS NULL THEN 'Inventory item not found'
+                WHEN l0<quantity THEN 'Insufficient quantity. Available: '||CAST(l0 AS VARCHAR)||', Requested: '
+                  ||CAST(quantity AS VARCHAR)
+                WHEN external_stock_id IS NULL THEN 'Missing external_stock_id'
+                WHEN NOT known THEN 'User not found in sync settings' ELSE 'no token' END
+    FROM c WHERE NOT token""")
+def connected_purchases(spark, sf_dir):
+    settings = fx.settings(spark, sf_dir).where(F.col("user_id") % 7 != 0)
+    return pu.decide_purchases(busy_purchases(spark, sf_dir), fx.full_inventory(spark, sf_dir),
+                               fx.export(spark, sf_dir), settings).select(
+        "request_id", "item_id", "status", "quantity_before", "quantity_after", "error")
+
+
 _RECONCILED = with_views("full_export full_inventory resolved", """
     , r AS (SELECT e.*, i.id AS item_id, i.id IS NOT NULL AS known, c.print_id,
               CASE WHEN e.id IS NULL THEN 'Product id missing'

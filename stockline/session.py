@@ -15,6 +15,8 @@ SETTINGS = {
     # Left joins from a hot key are split even if that costs one more exchange later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # A JSON object that repeats a key counts with the last one and does not stop the job.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -13,14 +13,18 @@ from stockline.operators.catalog import catalog_union
 
 def read_export(spark: SparkSession, path: str, blueprint_id: int | None = None,
                 expansion_id: int | None = None, multiline: bool = True) -> DataFrame:
-    """Product exports under ``path/user_id=<id>/``, with the row's place in ``seq``.
+    """Product exports under ``path/user_id=<id>/``, with the row's place in ``seq``: file, block of the
+    file, row in the block. Files follow each other by name, whatever order Spark reads them in.
 
     A JSON array per file needs ``multiline`` and is read by one task; exports of large sellers
     belong in JSON lines, which split. Filters apply only when truthy.
     """
     rows = (spark.read.schema(f"{schemas.EXPORT}, user_id string").option("multiLine", multiline)
             .json(path).withColumn("source_file", F.col("_metadata.file_path"))
-            .withColumn("seq", F.monotonically_increasing_id()))
+            # A block is read by one task from start to end, so this number rises inside it.
+            .withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"),
+                                        F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("row"))))
     if blueprint_id:
         rows = rows.where(F.col("blueprint_id") == blueprint_id)
     if expansion_id:
