@@ -87,15 +87,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(row, place, key, end - begin, raw[begin:end])
-                for row, (raw, _, _), begins, ends, hashes in _chunked(batch["text"])
+        rows = [(digest, place, key, end - begin, raw[begin:end])
+                for _, (raw, first, last), begins, ends, hashes in _chunked(batch["text"])
+                for digest in [hashlib.sha256(raw[first:last]).hexdigest()]
                 for place, (begin, end, key) in enumerate(
                     zip(begins.tolist(), ends.tolist(), hashes.view(np.int64).tolist(), strict=True))]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"].take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()),
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()),
              pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())],
-            ["doc_id", "place", "chunk", "length", "content"])
+            ["text_sha256", "place", "chunk", "length", "content"])
 
 
 def ambiguous_chunks(chunks: DataFrame) -> DataFrame:
@@ -105,13 +106,14 @@ def ambiguous_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def _variants(texts: DataFrame, ambiguous: DataFrame) -> DataFrame:
-    """For documents that hold ambiguous chunks: which content each of them has."""
-    placed = texts.mapInArrow(_placed_chunks, "doc_id bigint, place int, chunk bigint, length int, content binary")
+    """For texts that hold ambiguous chunks: which content each of them has. Texts are told apart by their
+    digest, as a doc_id may be null or stand on several rows; a text is looked at once however often it comes."""
+    placed = texts.mapInArrow(_placed_chunks, "text_sha256 string, place int, chunk bigint, length int, content binary")
     placed = placed.join(ambiguous, ["chunk", "length"])
     order = Window.partitionBy("chunk", "length").orderBy("content")
     ranks = placed.select("chunk", "length", "content").distinct().withColumn("variant", F.dense_rank().over(order))
-    return (placed.join(ranks, ["chunk", "length", "content"]).groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "variant"))).cast("string").alias("variants")))
+    return (placed.join(ranks, ["chunk", "length", "content"]).groupBy("text_sha256")
+            .agg(F.sort_array(F.collect_set(F.struct("place", "variant"))).cast("string").alias("variants")))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     if ambiguous.isEmpty():
         recipes = recipes.withColumn("variants", F.lit(""))
     else:
-        recipes = stored(recipes.join(_variants(texts, ambiguous), "doc_id", "left")
+        recipes = stored(recipes.join(_variants(texts, ambiguous), "text_sha256", "left")
                          .withColumn("variants", F.coalesce("variants", F.lit(""))), "resolved")
     groups = recipes.groupBy("recipe", "variants").agg(
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))

@@ -127,7 +127,8 @@ class CoarseHash(ngram_join.RangeHash):
 def test_exact_groups_match_brute_force(spark, monkeypatch, coarse):
     if coarse:
         monkeypatch.setattr(exact_dedup, "RangeHash", CoarseHash)
-    rows = copies()
+    # Many short texts of one length, on rows without an id or with the same one.
+    rows = copies() + [(i, f"{k:04}") for k in range(300) for i in (None, 9)]
     found = exact_dedup.exact_groups(table(spark, rows)).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=str) == brute_groups(rows)
     kept = [r for r in found if r.kept]
