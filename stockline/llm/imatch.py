@@ -55,9 +55,9 @@ def linked(ids: DataFrame) -> DataFrame:
     # The table of ranges has one small row per range, however many documents there are.
     firsts = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("first"))
     ring = firsts.agg(F.array_sort(F.collect_list(F.struct("range", "first"))).alias("ring"))
-    after = ring.select(F.posexplode("ring").alias("at", "here"), "ring").select(
-        F.col("here.range").alias("range"),
-        F.expr("get(ring, (at + 1) % size(ring)).first").alias("first"))
+    after = ring.select(F.explode(F.transform("ring", lambda here, at: F.struct(
+        here["range"].alias("range"), F.get("ring", (at + 1) % F.size("ring"))["first"].alias("first")))).alias("row"))
+    after = after.select("row.range", "row.first")
     dealt = dealt.withColumn("next", F.lead("key").over(inside))
     return dealt.join(F.broadcast(after), "range").select(
         "key", "doc_id", "n_chars", "copies", F.coalesce("next", "first").alias("next"))
