@@ -31,6 +31,7 @@ def same_owner(left: Column, right: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(F.coalesce(left == right, F.lit(False)))
 
 
+# The texts of the errors below.
 def _uuid_error(name: str) -> Column:
     return F.when(canonical_uuid(F.col(name)).isNull(), f"Invalid {name} format: must be a valid UUID")
 

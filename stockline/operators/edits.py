@@ -11,6 +11,7 @@ from stockline.functions.quality import strip
 PATCH_FIELDS = ["quantity", "price_cents", "description", "user_data_field", "graded", "properties"]
 MAX_DESCRIPTION = 5000
 MAX_USER_DATA = 1000
+# Fixed value: text of an unknown item.
 DELETE_NOT_FOUND = "Inventory item not found"
 
 

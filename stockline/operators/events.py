@@ -34,6 +34,7 @@ def route(cause: Column, state: Column, previous_state: Column) -> Column:
 
 def ignore_reason(cause: Column, state: Column, previous_state: Column) -> Column:
     """Why an event is ignored (null if it is not)."""
+    # The texts of the reasons.
     shown = _text(state)
     reason = (F.when(cause == "order.create", F.concat(F.lit("Order state is '"), shown, F.lit("', not 'paid'")))
               .when(cause == "order.update",

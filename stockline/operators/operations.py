@@ -50,6 +50,7 @@ def operation_access(requests: DataFrame, operations: DataFrame) -> DataFrame:
     """Whether a requester (requester_id) may see an operation (operation_id)."""
     joined = requests.join(
         operations.select("operation_id", F.col("user_id").alias("_owner")), "operation_id", "left")
+    # The texts of the reasons.
     reason = (F.when(F.col("_owner").isNull(), "Access denied: Could not verify task ownership")
               .when(F.col("_owner") != F.col("requester_id"),
                     "Access denied: Task does not belong to authenticated user"))
@@ -62,6 +63,7 @@ def owner_match(requests: DataFrame, left: str = "token_user", right: str = "pat
 
 def task_message(state: Column, ok: Column) -> Column:
     """Text for a task; ``ok`` is null while it runs."""
+    # The texts of the states.
     return (F.when(ok, "Task completed successfully").when(~ok, "Task failed")
             .when(state == "PENDING", "Task is waiting to be processed")
             .when(state == "STARTED", "Task is currently running")
