@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 The vocabulary is of merge type: a segment's characters are merged pair by pair, best piece first, from an agenda.
-Each candidate merge is looked up in a keyed hash of the seed, the segment's variant and the place and length of its
-two parts; if the hash falls below the dropout rate, the candidate is skipped when the agenda comes to it. So the
-same seed gives the same segmentation on any cluster, another seed another one, and rate 0 the library's own. A
-segment's variant follows from the document's id and the segment's place, one of ``VARIANTS``, so repeated words are
-segmented in varied ways and a worker still meets most (segment, variant) pairs again.
+Each candidate merge is looked up in a keyed hash of the seed, the document's id, the segment and its place in the
+document, and the place and length of its two parts; if the hash falls below the dropout rate, the candidate is skipped
+when the agenda comes to it. So the same seed gives the same segmentation on any cluster, another seed another one, and
+rate 0 the library's own. Every occurrence of a word has its own draws (64 bits of document and place).
 
-A worker takes texts in blocks and settles the pairs it does not hold together: words have their agendas in arrays and
-each step takes the best candidate of every word; longer segments have a heap each. Both give the same pieces.
+A worker takes texts in blocks. It remembers of each word the merges that it has without dropout and the pieces they
+make; occurrences that skip none of these merges have these pieces. All others are merged anew, never looked up: words
+have their agendas in arrays and each step takes the best candidate of every word; longer segments have a heap each.
+Both give the same pieces.
 
 No piece holds a blank after another character, so merges never cross the start of a word and each segment is
 encoded by itself. Characters without a piece are written as bytes; so is the mark that stands for a blank where the
@@ -25,8 +26,8 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import cycle, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,13 @@ from sentencepiece import SentencePieceProcessor
 from stockline.llm.common import BLOCK_BYTES, mix, texts, worker_value
 
 BLANK = "▁"
-VARIANTS = 4
-#: (segment, variant) pairs a worker keeps in each of two generations; a full one becomes the older one.
+#: Distance of the keys of two segments; the draw of an occurrence, any 64 bits, is added to its segment's.
+VARIANTS = 1 << 32
+#: Words whose merges without dropout a worker keeps; when there are more, it starts again.
 KEPT_SEGMENTS = 300_000
-#: Characters of the segments that are remembered; of those that are merged in arrays, and how many of these at once.
-REMEMBERED, WORD, WORDS_AT_ONCE = 64, 24, 20_000
-_LITERAL = ("", 0)
+#: Characters of the segments that are merged in arrays, and how many of these at once.
+WORD, WORDS_AT_ONCE = 24, 20_000
+_SPREAD = 0x9E3779B97F4A7C15
 _SEGMENTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _MASK = (1 << 64) - 1
 
@@ -53,8 +55,12 @@ def _mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _sum(segment: str) -> int:
+    return zlib.crc32(segment.encode("utf-8", "surrogatepass"))
+
+
 class PieceVocabulary:
-    """A vocabulary of merge type, and a memory of the segments met."""
+    """A vocabulary of merge type, and a memory of what the words met become without dropout."""
 
     def __init__(self, path: str, seed: int, rate: float):
         library = SentencePieceProcessor(model_file=path)
@@ -75,9 +81,13 @@ class PieceVocabulary:
                     for i, p in enumerate(self.pieces)]
         self.seed, self.below = seed & _MASK, min(int(rate * (1 << 64)), _MASK)
         self.literal = array("I", [self.byte_ids[b] for b in BLANK.encode()]).tobytes()
-        self.kept: dict[tuple[str, int], bytes] = {}
-        self.older: dict[tuple[str, int], bytes] = {}
         self._arrays()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remember the literal mark only: word 0, the empty one, without merges."""
+        self.numbers, self.plain = {"": 0}, [self.literal]
+        self.sums, self.spots, self.firsts = np.zeros(1, np.uint64), np.zeros(0, np.uint64), np.zeros(2, np.int64)
 
     def _arrays(self) -> None:
         """Pieces as codes (other characters follow them), and which two codes make which piece."""
@@ -100,14 +110,14 @@ class PieceVocabulary:
 
     def skipped(self, key: int, start: int, middle: int, end: int) -> bool:
         """The keyed hash of a candidate merge, against the dropout rate."""
-        return _mixed(key ^ (start << 42 | middle << 21 | end) * 0x9E3779B97F4A7C15 & _MASK) < self.below
+        return _mixed(key ^ (start << 42 | middle << 21 | end) * _SPREAD & _MASK) < self.below
 
-    def merge(self, segment: str, variant: int) -> list[str]:
+    def merge(self, segment: str, draw: int) -> list[str]:
         """The pieces of a segment: candidates leave the agenda best first, leftmost of equals, or are skipped."""
         n = len(segment)
         if n == 1:
             return [segment]
-        key = _mixed(self.seed + zlib.crc32(segment.encode("utf-8", "surrogatepass")) * VARIANTS + variant)
+        key = _mixed(self.seed + _sum(segment) * VARIANTS + draw & _MASK)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         scores, below, agenda = self.scores, self.below, []
 
@@ -138,15 +148,18 @@ class PieceVocabulary:
             k = after[k]
         return found
 
-    def segment_ids(self, segment: str, variant: int) -> bytes:
+    def _piece_ids(self, pieces: Iterable[str]) -> bytes:
         ids = array("I")
-        for piece in self.merge(segment, variant):
+        for piece in pieces:
             if (known := self.ids.get(piece)) is not None:
                 ids.append(known)
             else:
                 ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
         return ids.tobytes()
 
+    def segment_ids(self, segment: str, draw: int) -> bytes:
+        return self._piece_ids(self.merge(segment, draw))
+
     def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that two neighbours make and its score; none scores least."""
         wanted = left << 21 | right
@@ -154,13 +167,22 @@ class PieceVocabulary:
         code = self.pair_codes[at]
         return code, np.where(self.pair_keys[at] == wanted, self.piece_scores[code], -np.inf)
 
+    def _keys(self, sums: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        return mix(sums * np.uint64(VARIANTS) + draws + np.uint64(self.seed))
+
     def words_ids(self, words: list[tuple[str, int]]) -> list[bytes]:
-        """The ids of some words: every step settles the best candidate, leftmost of equals, of each word's agenda."""
-        n, size = len(words), np.array([len(w) for w, _ in words])
+        """The ids of some words, each with its draw."""
+        sums, draws = np.array([_sum(w) for w, _ in words], np.uint64), np.array([d for _, d in words], np.uint64)
+        return self._merged([w for w, _ in words], self._keys(sums, draws))
+
+    def _merged(self, words: list[str], keys: np.ndarray | None, steps: list | None = None) -> list[bytes]:
+        """The ids of some words: every step settles the best candidate, leftmost of equals, of each word's agenda.
+
+        Without keys nothing is skipped; the rows and candidates of each step are then added to ``steps``.
+        """
+        n, size = len(words), np.array([len(w) for w in words])
         width = int(size.max())
-        chars = np.array([w for w, _ in words], f"<U{width}").view(np.uint32).reshape(n, width)
-        sums = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) * VARIANTS + v for w, v in words], np.uint64)
-        keys = mix(sums + np.uint64(self.seed))
+        chars = np.array(words, f"<U{width}").view(np.uint32).reshape(n, width)
         place = np.arange(width)
         codes, alive = self.char_codes[chars], place < size[:, None]
         after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
@@ -177,9 +199,13 @@ class PieceVocabulary:
             right = after[rows, left]
             end = after[rows, right]
             agenda[rows, left] = -np.inf
-            spot = (left << 42 | right << 21 | end).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            merged = mix(keys[rows] ^ spot) >= np.uint64(self.below) if self.below else np.ones(len(rows), bool)
-            r, left, right, end = rows[merged], left[merged], right[merged], end[merged]
+            spot = (left << 42 | right << 21 | end).astype(np.uint64) * np.uint64(_SPREAD)
+            if keys is None:
+                r = rows
+                steps.append((rows, spot))
+            else:
+                merged = mix(keys[rows] ^ spot) >= np.uint64(self.below)
+                r, left, right, end = rows[merged], left[merged], right[merged], end[merged]
             alive[r, right], agenda[r, right] = False, -np.inf
             codes[r, left], after[r, left] = made[r, left], end
             more = end < size[r]
@@ -194,34 +220,73 @@ class PieceVocabulary:
         whole = (known | ~alive).all(axis=1)
         ids = self.piece_ids[np.where(known, codes, 0)[alive]].tobytes()
         ends = (np.cumsum(alive.sum(axis=1)) * 4).tolist()
-        return [ids[a:b] if one else self.segment_ids(*word) for a, b, one, word in
-                zip([0, *ends], ends, whole.tolist(), words, strict=False)]
-
-    def _settle(self, wanted: set[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
-        """Remember the ids of all wanted pairs; those too long to be remembered are returned."""
-        for pair in wanted & self.older.keys():
-            self.kept[pair] = self.older[pair]
-        new = wanted - self.kept.keys()
-        words = sorted((p for p in new if len(p[0]) <= WORD), key=lambda p: len(p[0]))
+        found = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for k in np.flatnonzero(~whole).tolist():
+            begins = np.flatnonzero(alive[k])
+            found[k] = self._piece_ids(words[k][a:b] for a, b in zip(begins, after[k, begins], strict=True))
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the merges of some words without dropout, in their order, and the pieces they make."""
+        words = sorted(words, key=len)
+        spots, counts = [self.spots], [np.diff(self.firsts)]
         for k in range(0, len(words), WORDS_AT_ONCE):
-            some = words[k:k + WORDS_AT_ONCE]
-            self.kept.update(zip(some, self.words_ids(some), strict=True))
-        once = {}
-        for pair in new:
-            if len(pair[0]) > WORD:
-                (self.kept if len(pair[0]) <= REMEMBERED else once)[pair] = self.segment_ids(*pair)
-        return once
-
-    def _segments(self, text: str, doc_id: int) -> list[tuple[str, int]]:
-        """The segments of a text, each with its variant."""
-        pairs, at = [], _mixed((doc_id & _MASK) ^ self.seed) % VARIANTS + 1
+            some, steps = words[k:k + WORDS_AT_ONCE], []
+            self.plain += self._merged(some, None, steps)
+            rows = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in steps]])
+            spots.append(np.concatenate([np.zeros(0, np.uint64), *[x for _, x in steps]])[np.argsort(rows, kind="stable")])
+            counts.append(np.bincount(rows, minlength=len(some)))
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.sums = np.concatenate([self.sums, np.array([_sum(w) for w in words], np.uint64)])
+        self.spots, self.firsts = np.concatenate(spots), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def _skipping(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences that skip one of the merges that their word has without dropout."""
+        found, open_ = np.zeros(len(numbers), bool), np.arange(len(numbers))
+        at, end = self.firsts[numbers], self.firsts[numbers + 1]
+        while self.below and len(open_ := open_[at < end]):
+            at, end, keys = (x[at < end] for x in (at, end, keys))
+            kept = mix(keys ^ self.spots[at]) >= np.uint64(self.below)
+            found[open_[~kept]] = True
+            open_, at, end, keys = open_[kept], at[kept] + 1, end[kept], keys[kept]
+        return np.flatnonzero(found)
+
+    def _settled(self, segments: list[str], draws: np.ndarray) -> list[bytes]:
+        """The ids of each occurrence of a segment."""
+        words = {s for s in set(segments) if len(s) <= WORD}
+        if new := words - self.numbers.keys():
+            if len(self.numbers) + len(new) > KEPT_SEGMENTS:
+                self._forget()
+                new = words - self.numbers.keys()
+            self._learn(list(new))
+        at = list(map(self.numbers.get, segments, repeat(-1)))
+        numbers, found = np.array(at, np.int64), list(map(self.plain.__getitem__, at))
+        short = np.flatnonzero(numbers >= 0)
+        keys = self._keys(self.sums[numbers[short]], draws[short])
+        skipping = self._skipping(numbers[short], keys)
+        sizes = np.fromiter(map(len, map(segments.__getitem__, short[skipping].tolist())), np.uint8, len(skipping))
+        skipping = skipping[np.argsort(sizes, kind="stable")]
+        for k in range(0, len(skipping), WORDS_AT_ONCE):
+            some = skipping[k:k + WORDS_AT_ONCE]
+            places = short[some].tolist()
+            for place, ids in zip(places, self._merged([segments[p] for p in places], keys[some]), strict=True):
+                found[place] = ids
+        for place in np.flatnonzero(numbers < 0).tolist():
+            found[place] = self.segment_ids(segments[place], int(draws[place]))
+        return found
+
+    def segments(self, text: str) -> list[str]:
+        """The segments of a text; an empty one stands for the mark of a blank itself."""
+        found = []
         for k, part in enumerate(text.split(BLANK) if text else []):
-            if k:
-                pairs.append(_LITERAL)
-            found = _SEGMENTS.findall((BLANK if not k else "") + part.replace(" ", BLANK))
-            pairs.extend(zip(found, islice(cycle(range(VARIANTS)), at % VARIANTS, None), strict=False))
-            at += len(found)
-        return pairs
+            found += ([""] if k else []) + _SEGMENTS.findall(("" if k else BLANK) + part.replace(" ", BLANK))
+        return found
+
+    def draws(self, doc_ids: list[int], counts: list[int]) -> np.ndarray:
+        """What sets apart each occurrence of a segment: 64 bits from the seed, document and place."""
+        docs = np.repeat(mix(np.array([i & _MASK for i in doc_ids], np.uint64) ^ np.uint64(self.seed)), counts)
+        places = np.concatenate([np.zeros(0, np.uint64), *[np.arange(1, n + 1, dtype=np.uint64) for n in counts]])
+        return mix(docs + places * np.uint64(_SPREAD))
 
     def encode_all(self, some: list[str], doc_ids: list[int]) -> Iterator[bytes]:
         """The ids of each text, four bytes each; texts are taken in blocks of bounded size."""
@@ -230,12 +295,13 @@ class PieceVocabulary:
             end, taken = first + 1, len(some[first])
             while end < len(some) and (taken := taken + len(some[end])) <= BLOCK_BYTES:
                 end += 1
-            block = [self._segments(*x) for x in zip(some[first:end], doc_ids[first:end], strict=True)]
-            once = self._settle(set().union(*block) - {_LITERAL}) | {_LITERAL: self.literal}
-            for pairs in block:
-                yield b"".join([once[p] if p in once else self.kept[p] for p in pairs])
-            if len(self.kept) >= KEPT_SEGMENTS:
-                self.older, self.kept = self.kept, {}
+            block = [self.segments(text) for text in some[first:end]]
+            counts = [len(segments) for segments in block]
+            found = self._settled(list(chain.from_iterable(block)), self.draws(doc_ids[first:end], counts))
+            at = 0
+            for n in counts:
+                yield b"".join(found[at:at + n])
+                at += n
             first = end
 
     def encode(self, text: str, doc_id: int = 0) -> bytes:

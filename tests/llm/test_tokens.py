@@ -144,3 +144,30 @@ def test_dropout_varies_and_decodes(spark):
     rows = encode_documents(docs(spark), PIECE, 3, 0.3)
     assert decode_ids(rows, PIECE, ["text"]).where("coalesce(text, '') <> decoded").count() == 0
     assert round_trip(docs(spark).where("false"), PIECE, 1, 0.1).count() == 0
+
+
+def test_every_occurrence_has_its_own_draws():
+    """A frequent word takes every segmentation its candidates allow, each as often as its draws make it likely."""
+    known, n = PieceVocabulary(PIECE, 7, 0.1), 4000
+    pieces = [known.pieces[k] for k in array("I", known.encode(" ".join(["considerations"] * n), 5))]
+    assert len(set(" ".join(pieces).split(" ▁"))) > 20
+    found = []
+    for doc_id, words in ((5, n), (6, n), (-6, n)):
+        text = " ".join(["considerations"] * words)
+        segments, draws = known.segments(text), known.draws([doc_id], [words]).tolist()
+        each = [known.segment_ids(*x) for x in zip(segments, draws, strict=True)]
+        assert known.encode(text, doc_id) == b"".join(each)
+        found.append(each)
+    assert len({tuple(each) for each in found}) == 3
+    assert all(len(set(each)) > 20 for each in found)
+    rng, plain = random.Random(1), PieceVocabulary(PIECE, 7, 0.0).segment_ids("▁considerations", 0)
+    likely = sum(known.segment_ids("▁considerations", rng.getrandbits(64)) == plain for _ in range(n)) / n
+    assert abs(sum(ids == plain for each in found for ids in each) / (3 * n) - likely) < 0.03
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    from stockline.llm import piece_tokens
+    known, text = PieceVocabulary(PIECE, 7, 0.2), " ".join(["some words that are met again", "and again, " * 20, "é" * 40])
+    want = known.encode(text, 9)
+    monkeypatch.setattr(piece_tokens, "KEPT_SEGMENTS", 8)
+    assert [known.encode(text, k) == want for k in (9, 9, 10)] == [True, True, False]
