@@ -6,7 +6,8 @@ again as the next stage's docs. All stages but the last return the columns of ``
 1. quality: rows scored below ``LEAST_QUALITY`` go. The classifier learns from the labelled rows among its input.
 2. language: rows without a letter (``und``) or unlike any learned language go.
 3. exact_dedup: of equal texts the row with the largest doc_id stays.
-4. near_dedup: of documents linked by their word n-grams the one with the smallest doc_id stays.
+4. near_dedup: of documents linked by their word n-grams the one with the smallest doc_id stays. Sets of
+   ``NEAR_WORDS`` words link from ``NEAR_PERCENT`` % likeness (Jaccard) on, other values than those of op1.
 5. packing: what is left is packed into sequences of 4096 tokens.
 
 Null texts count as empty: they are scored like any text and go as ``und``. Without labels or languages to learn from,
@@ -26,6 +27,7 @@ from stockline.llm.packing import pack_documents
 from stockline.llm.quality import fit_quality, keep_rows
 
 LEAST_QUALITY, LEAST_LIKENESS = 0.5, 0.2
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return keep_one_per_component(docs)
+    return keep_one_per_component(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 
+import corpus_pipeline
 import pytest
 from pyspark import cloudpickle
 
@@ -90,6 +91,44 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.where("doc_id in (1, 2, 3)").count() == len([r for r in empty if r[0]])
 
 
+def brute_five_words(rows):
+    """The least doc_id of each row's component: five words, 80 %."""
+    words = [(t or "").translate(FOLD).split() for _, t in rows]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group]
+
+
+@pytest.mark.parametrize("pairs, triples", [(64, 1 << 15), (2, 3)])
+def test_the_stage_links_five_words_from_80_percent_on(spark, monkeypatch, pairs, triples):
+    monkeypatch.setattr(ngram_join, "PAIRS_FROM", pairs)
+    monkeypatch.setattr(ngram_join, "TRIPLES_FROM", triples)
+    rows = [(i, t) for i, t in near_copies(7) if i and i != 7]
+    rng = random.Random(12)
+    for k in range(40):
+        base = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400))]
+        for copy in range(3):
+            text = list(base)
+            for _ in range(copy * len(base) // 50):
+                text[rng.randrange(len(text))] = "other"
+            rows.append((10_000 + 3 * k + copy, " ".join(text)))
+    # The same words with the first and last one changed are another shingle.
+    rows += [(20_000, "p q r s t"), (20_001, "t q r s p")]
+    want = brute_five_words(rows)
+    docs = table(spark, rows)
+    found = ngram_join.shingle_components(docs, 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: c for (i, _), c in zip(rows, want, strict=True)}
+    assert want != [dict((i, c) for i, _, c in brute_components(rows))[i] for i, _ in rows]
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [(1, "x")]).where("false")
     assert ngram_join.shingle_components(docs).count() == 0
