@@ -178,8 +178,13 @@ def choose_telling(found: list[tuple[str, int]]) -> list[str]:
     return chosen
 
 
+def spread(found: list[str], most: int) -> list[str]:
+    """At most so many of a list, evenly spaced from its first to its last."""
+    return [found[k] for k in np.linspace(0, len(found) - 1, min(len(found), most)).round().astype(int)]
+
+
 def _example_windows(telling: frozenset):
-    """Windows of labelled sentences: around a telling word in toxic texts, spread evenly in clean ones."""
+    """Windows of labelled sentences: from telling words on in toxic texts, from any word on in clean ones, spread evenly."""
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, windows = [], []
@@ -192,8 +197,7 @@ def _example_windows(telling: frozenset):
                                   if not telling.isdisjoint(stems(w.group()))]
                     else:
                         found += [sentence[w.start():w.start() + WINDOW] for w in words]
-                step = max(1, len(found) // (TOXIC_WINDOWS if label else CLEAN_WINDOWS))
-                for window in found[::step][:TOXIC_WINDOWS if label else CLEAN_WINDOWS]:
+                for window in spread(found, TOXIC_WINDOWS if label else CLEAN_WINDOWS):
                     labels.append(label)
                     windows.append(letter_stream(window).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(windows, pa.binary())],
