@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stockline.llm.common import table
+from stockline.llm.divergence import source_divergence
 from stockline.llm.exact_dedup import exact_groups
 from stockline.llm.imatch import fingerprint_documents
 from stockline.llm.language import LanguageModel, language_profiles, predict_languages
@@ -66,6 +67,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -128,6 +133,36 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM folded WINDOW g AS (PARTITION BY t)
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+hits AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM hits GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM docs) g LEFT JOIN kept k ON k.lang = g.lang
+  GROUP BY g.lang),
+counts AS (SELECT h.lang, h.source, h.term, count(*) AS n FROM hits h JOIN kept k ON k.lang = h.lang AND k.term = h.term
+  GROUP BY h.lang, h.source, h.term),
+dense AS (SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT d.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY d.lang, source)
+  + 2 * v) AS p FROM dense d JOIN sizes s ON s.lang = d.lang),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT d.lang, term, sum(n) AS n, any_value(v) AS v FROM dense d JOIN sizes s ON s.lang = d.lang GROUP BY d.lang, term)),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM shares x JOIN shares y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY x.lang, x.source, y.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_ngram_join": (op1_ngram_join, OP1_SQL),
     "op2_token_counts": (op2_token_counts, None),
@@ -139,4 +174,5 @@ QUERIES = {
     "op8_quotations": (op8_quotations, None),
     "op9_language": (op9_language, None),
     "op10_imatch": (op10_imatch, OP10_SQL),
+    "op11_divergence": (op11_divergence, OP11_SQL),
 }
