@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stockline.llm.common import table
+from stockline.llm.conversation_repair import audit_conversations
 from stockline.llm.divergence import source_divergence
 from stockline.llm.exact_dedup import exact_groups
 from stockline.llm.imatch import fingerprint_documents
 from stockline.llm.language import LanguageModel, language_profiles, predict_languages
+from stockline.llm.license_scan import scan_licenses
 from stockline.llm.ngram_join import shingle_components
 from stockline.llm.packing import pack_documents
 from stockline.llm.piece_tokens import round_trip
@@ -71,6 +73,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -163,6 +173,67 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+fated AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''),
+    lambda c: ascii(c)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+    lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fate FROM keyed),
+damaged AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN ''
+    WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, range(CASE WHEN fate = 0 THEN 0 WHEN fate = 3 THEN 2 ELSE 1 END)),
+rows AS (
+  SELECT *, row_number() OVER o AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, r)
+      AS seen,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC, r DESC) AS back,
+    lag(role) OVER o AS earlier
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r)),
+faulty AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    earlier IS NOT NULL AND left(earlier, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM rows),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM faulty GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, n, 0::BIGINT AS back, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS s0,
+    {'c': 4, 'a': 'II', 't': ['user:', 'assistant:']} AS s1, {'c': 2, 'a': 'I', 't': ['assistant:']} AS s2,
+    {'c': 0, 'a': '', 't': []::VARCHAR[]} AS s3 FROM facts
+  UNION ALL
+  SELECT conv_id, n, back,
+    least(b0, {'c': u.c + 2, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}),
+    least(b1, {'c': u.c + 2, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}), u, a
+  FROM (
+    SELECT *, least(b2, {'c': b3.c + 2, 'a': 'I' || b3.a, 't': list_prepend('assistant:', b3.t)}) AS u,
+      least(b3, {'c': b2.c + 2, 'a': 'I' || b2.a, 't': list_prepend('user:', b2.t)}) AS a
+    FROM (
+      SELECT conv_id, n, back, least(d0, as_user, CASE WHEN i = 'u' AND stays THEN as_it_is_2
+          WHEN i = 's' AND stays THEN {'c': s1.c + w, 'a': 'K' || s1.a, 't': list_prepend(line, s1.t)} END) AS b0,
+        least(d1, as_user, CASE WHEN i = 'u' AND stays THEN as_it_is_2 END) AS b1,
+        least(d2, as_assistant, CASE WHEN i = 'a' AND stays THEN as_it_is_3 END) AS b2,
+        least(d3, as_user, CASE WHEN i = 'u' AND stays THEN as_it_is_2 END) AS b3
+      FROM (
+        SELECT s.conv_id, s.n, r.back, s1, r.i, fault IN ('', 'truncated') AS stays, (fault = 'truncated')::INT AS w,
+          role || ':' || text AS line,
+          {'c': s0.c + 3, 'a': 'D' || s0.a, 't': s0.t} AS d0, {'c': s1.c + 3, 'a': 'D' || s1.a, 't': s1.t} AS d1,
+          {'c': s2.c + 3, 'a': 'D' || s2.a, 't': s2.t} AS d2, {'c': s3.c + 3, 'a': 'D' || s3.a, 't': s3.t} AS d3,
+          CASE WHEN stays THEN {'c': s2.c + 2 + w, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)} END AS as_user,
+          CASE WHEN stays THEN {'c': s3.c + 2 + w, 'a': 'R' || s3.a, 't': list_prepend('assistant:' || text, s3.t)} END AS as_assistant,
+          {'c': s2.c + w, 'a': 'K' || s2.a, 't': list_prepend(line, s2.t)} AS as_it_is_2,
+          {'c': s3.c + w, 'a': 'K' || s3.a, 't': list_prepend(line, s3.t)} AS as_it_is_3
+        FROM steps s JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.back = s.back + 1)))),
+ends AS (SELECT conv_id, s0 FROM steps WHERE back = n)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost,
+  coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 QUERIES = {
     "op1_ngram_join": (op1_ngram_join, OP1_SQL),
     "op2_token_counts": (op2_token_counts, None),
@@ -175,4 +246,6 @@ QUERIES = {
     "op9_language": (op9_language, None),
     "op10_imatch": (op10_imatch, OP10_SQL),
     "op11_divergence": (op11_divergence, OP11_SQL),
+    "op12_license_scan": (op12_license_scan, None),
+    "op13_conversation_repair": (op13_conversation_repair, OP13_SQL),
 }
