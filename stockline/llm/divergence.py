@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockline.llm.common import RangeHash, blocks, fold_bytes, mix, stored
+from stockline.llm.common import RangeHash, arrow_rows, blocks, fold_bytes, mix, stored
 from stockline.llm.words import byte_class, gather, spans, sum_by_key
 
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 #: Distinct postings that a task keeps before it lets a run go; kept postings of a shard; pairs of sources in memory.
 RUN_POSTINGS, SHARD_POSTINGS, PAIRS_HELD = 600_000, 400_000, 1 << 21
+#: Rows that travel between Spark and a task's Python at once, and postings whose corrections are worked out at once.
+ARROW_ROWS, ROWS_AT_ONCE = 8192, 50_000
 #: Letters are A-Z, a-z and everything beyond ASCII.
 LETTERS = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +85,24 @@ class Postings:
             self.parts = [(key[first], group[first], count, docs, words)]
             self.held = len(first)
 
+    @staticmethod
+    def by_term(words: pa.Array) -> pa.Array:
+        """Order by the first sixteen bytes of a word, which is all that a run needs to be merged quickly."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1]
+        data = np.concatenate([np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.zeros(16, np.uint8)])
+        letters = data[offsets[:-1, None] + np.arange(16)]
+        letters[np.arange(16) >= np.diff(offsets)[:, None]] = 0
+        first, second = letters.view(">u8").astype(np.uint64).T
+        return pa.array(np.lexsort((second, first)))
+
     def run(self) -> Iterator[pa.RecordBatch]:
         """Let all postings go, sorted by term."""
         self.merge()
         if self.held:
             names = list(self.groups)
             _, group, count, docs, words = self.parts[0]
-            order = pc.sort_indices(words)
+            order = self.by_term(words)
             group = group[order.to_numpy()]
             langs, sources = (pa.array([name[k] for name in names], pa.string()) for k in range(2))
             run = pa.table({"term": words.cast(pa.string()).take(order), "lang": langs.take(pa.array(group)),
@@ -190,7 +203,7 @@ class Language:
         self.total = None
         self.pairs, self.pairs_held = [], 0
         self.found = []
-        self.waiting = None
+        self.waiting, self.read, self.rows_read = None, [], 0
 
     def sources(self, rows: pa.Table) -> None:
         self.names += rows["source"].to_pylist()
@@ -206,8 +219,15 @@ class Language:
             self.held_counts = [np.zeros((0, 2), np.int64), np.zeros(0, np.int64)]
 
     def postings(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if self.waiting is not None:
-            rows = pa.concat_tables([self.waiting, rows])
+        self.read.append(rows)
+        self.rows_read += len(rows)
+        if self.rows_read >= ROWS_AT_ONCE:
+            yield from self.whole_terms()
+
+    def whole_terms(self) -> Iterator[pa.RecordBatch]:
+        """Count what has been read but for its last term, which may go on."""
+        rows = pa.concat_tables([*([] if self.waiting is None else [self.waiting]), *self.read])
+        self.read, self.rows_read = [], 0
         last = int(np.flatnonzero(_changes(rows["term"].combine_chunks()))[-1])
         self.waiting = rows.slice(last).combine_chunks()
         if last:
@@ -290,6 +310,8 @@ class Language:
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         self.ready()
+        if self.read:
+            yield from self.whole_terms()
         if self.waiting is not None:
             yield from self.take(self.waiting)
         if self.found:
@@ -348,7 +370,8 @@ def term_postings(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """Distances between the sources of each language, and each source's most telling terms."""
-    kept = stored(term_postings(docs, least), "postings")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        kept = stored(term_postings(docs, least), "postings")
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     counted = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("leads").alias("leads"))
     totals = groups.join(counted, ["lang", "source"], "left").na.fill(0, ["n", "leads"])
@@ -360,8 +383,9 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     dealt = kept.select(F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), "lang", F.lit(1).alias("kind"),
                         "term", "source", "n", F.lit(0).cast("long").alias("n_terms"), F.lit(0).cast("long").alias("n_lang"))
     rows = totals.unionByName(dealt).repartition("shard", "lang").sortWithinPartitions("shard", "lang", "kind", "term", "source")
-    parts = stored(rows.mapInArrow(_corrections(top), "lang string, part string, source string, item string, value long"),
-                   "corrections")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        parts = stored(rows.mapInArrow(_corrections(top), "lang string, part string, source string, item string, "
+                                                          "value long"), "corrections")
     pairs = (parts.where("part = 'pair'")
              .groupBy("lang", F.least("source", "item").alias("a"), F.greatest("source", "item").alias("b"))
              .agg(F.sum("value").alias("value")))
