@@ -6,10 +6,10 @@ document, and the place and length of its two parts; if the hash falls below the
 when the agenda comes to it. So the same seed gives the same segmentation on any cluster, another seed another one, and
 rate 0 the library's own. Every occurrence of a word has its own draws (64 bits of document and place).
 
-A worker takes texts in blocks. It remembers of each word the merges that it has without dropout and the pieces they
-make; occurrences that skip none of these merges have these pieces. All others are merged anew, never looked up: words
-have their agendas in arrays and each step takes the best candidate of every word; longer segments have a heap each.
-Both give the same pieces.
+A worker takes texts in blocks. It remembers of each word that it met twice in a block the merges that it has without
+dropout and the pieces they make; occurrences that skip none of these merges have these pieces. All others are merged
+anew, never looked up: words have their agendas in arrays and each step takes the best candidate of every word; longer
+segments have a heap each. Both give the same pieces.
 
 No piece holds a blank after another character, so merges never cross the start of a word and each segment is
 encoded by itself. Characters without a piece are written as bytes; so is the mark that stands for a blank where the
@@ -26,6 +26,7 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
@@ -105,8 +106,22 @@ class PieceVocabulary:
                                for x in (piece[:cut], piece[cut:]))
                 if left is not None and right is not None:
                     made[left << 21 | right] = k
-        pairs = sorted(made.items()) or [(-1, 0)]
-        self.pair_keys, self.pair_codes = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        # A table with several times as many places as pairs, each pair at the first free place from its hash on.
+        keys, codes = np.array(list(made), np.int64), np.array(list(made.values()), np.int64)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.pair_shift, self.pair_mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pair_keys, self.pair_codes = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at = self._pair_place(keys)
+        while len(keys):
+            free = self.pair_keys[at] < 0
+            _, first = np.unique(at, return_index=True)
+            taken = np.zeros(len(keys), bool)
+            taken[first] = free[first]
+            self.pair_keys[at[taken]], self.pair_codes[at[taken]] = keys[taken], codes[taken]
+            keys, codes, at = keys[~taken], codes[~taken], (at[~taken] + 1) & self.pair_mask
+
+    def _pair_place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_SPREAD) >> self.pair_shift).astype(np.int64)
 
     def skipped(self, key: int, start: int, middle: int, end: int) -> bool:
         """The keyed hash of a candidate merge, against the dropout rate."""
@@ -163,9 +178,22 @@ class PieceVocabulary:
     def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that two neighbours make and its score; none scores least."""
         wanted = left << 21 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        shape, wanted = wanted.shape, np.ascontiguousarray(wanted).ravel()
+        at = self._pair_place(wanted)
+        held = self.pair_keys[at]
+        found = held == wanted
         code = self.pair_codes[at]
-        return code, np.where(self.pair_keys[at] == wanted, self.piece_scores[code], -np.inf)
+        # Few pairs are neither at their place nor shown by a free one to be none.
+        open_ = np.flatnonzero(~found & (held >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.pair_mask
+            held = self.pair_keys[at]
+            here = held == wanted[open_]
+            found[open_[here]], code[open_[here]] = True, self.pair_codes[at[here]]
+            on = ~here & (held >= 0)
+            open_, at = open_[on], at[on]
+        return code.reshape(shape), np.where(found, self.piece_scores[code], -np.inf).reshape(shape)
 
     def _keys(self, sums: np.ndarray, draws: np.ndarray) -> np.ndarray:
         return mix(sums * np.uint64(VARIANTS) + draws + np.uint64(self.seed))
@@ -253,25 +281,32 @@ class PieceVocabulary:
 
     def _settled(self, segments: list[str], draws: np.ndarray) -> list[bytes]:
         """The ids of each occurrence of a segment."""
-        words = {s for s in set(segments) if len(s) <= WORD}
-        if new := words - self.numbers.keys():
-            if len(self.numbers) + len(new) > KEPT_SEGMENTS:
-                self._forget()
-                new = words - self.numbers.keys()
-            self._learn(list(new))
+        new = {s: n for s, n in Counter(segments).items() if s not in self.numbers}
+        # A word that is met once is merged with its draws at once.
+        again = [s for s, n in new.items() if n > 1 and len(s) <= WORD]
+        if len(self.numbers) + len(again) > KEPT_SEGMENTS:
+            self._forget()
+            again = [s for s, n in Counter(segments).items() if n > 1 and s and len(s) <= WORD]
+        if again:
+            self._learn(again)
         at = list(map(self.numbers.get, segments, repeat(-1)))
         numbers, found = np.array(at, np.int64), list(map(self.plain.__getitem__, at))
-        short = np.flatnonzero(numbers >= 0)
-        keys = self._keys(self.sums[numbers[short]], draws[short])
-        skipping = self._skipping(numbers[short], keys)
-        sizes = np.fromiter(map(len, map(segments.__getitem__, short[skipping].tolist())), np.uint8, len(skipping))
-        skipping = skipping[np.argsort(sizes, kind="stable")]
-        for k in range(0, len(skipping), WORDS_AT_ONCE):
-            some = skipping[k:k + WORDS_AT_ONCE]
-            places = short[some].tolist()
+        known, once = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        keys = self._keys(self.sums[numbers[known]], draws[known])
+        skipping = self._skipping(numbers[known], keys)
+        words = list(map(segments.__getitem__, once.tolist()))
+        short = np.fromiter(map(len, words), np.int64, len(words)) <= WORD
+        sums = np.fromiter((_sum(w) for w, s in zip(words, short.tolist(), strict=True) if s), np.uint64, int(short.sum()))
+        anew = np.concatenate([known[skipping], once[short]])
+        keys = np.concatenate([keys[skipping], self._keys(sums, draws[once[short]])])
+        sizes = np.fromiter(map(len, map(segments.__getitem__, anew.tolist())), np.uint8, len(anew))
+        order = np.argsort(sizes, kind="stable")
+        for k in range(0, len(order), WORDS_AT_ONCE):
+            some = order[k:k + WORDS_AT_ONCE]
+            places = anew[some].tolist()
             for place, ids in zip(places, self._merged([segments[p] for p in places], keys[some]), strict=True):
                 found[place] = ids
-        for place in np.flatnonzero(numbers < 0).tolist():
+        for place in once[~short].tolist():
             found[place] = self.segment_ids(segments[place], int(draws[place]))
         return found
 
