@@ -61,11 +61,17 @@ def resolve_seller(events: DataFrame) -> DataFrame:
     return events.withColumns({"seller_id": seller, "seller_error": error})
 
 
+def identity(events: DataFrame) -> Column:
+    """What tells an event from others: the key its reader gave it, else its id."""
+    return F.col("event_key") if "event_key" in events.columns else F.col("id")
+
+
 def explode_lines(events: DataFrame) -> DataFrame:
-    """One row per order line of the events that act on stock, in their order of application."""
+    """One row per order line of the events that act on stock, in their order of application. ``event_id`` is the
+    event's identity, so that lines of events without an id stay apart."""
     return (events.where(F.col("action") != "ignored")
             .select("*", F.posexplode("data.order_items").alias("ln", "_item"))
-            .select(F.col("id").alias("event_id"), F.col("data.id").alias("order_id"), "ts", "user_id", "action",
+            .select(identity(events).alias("event_id"), F.col("data.id").alias("order_id"), "ts", "user_id", "action",
                     "ln", F.col("_item.product_id").alias("product_id"), F.col("_item.quantity").alias("quantity")))
 
 
@@ -114,13 +120,22 @@ def event_results(applied: DataFrame) -> DataFrame:
                     items.alias("items"), errors.alias("errors"), F.lit("processed").alias("status")))
 
 
+def with_recipient(events: DataFrame) -> DataFrame:
+    """Events with the seller they were sent to, or that they name, as ``_recipient``: one id sent to two sellers is
+    two events."""
+    sent = [F.when(F.col("user_id") != "", F.col("user_id").cast("string"))] if "user_id" in events.columns else []
+    named = [F.col("data.seller.id")] if "data" in events.columns else []
+    return events.withColumn("_recipient", F.coalesce(*sent, *named, F.lit("")))
+
+
 def dedupe_events(events: DataFrame, key: str = "id", arrival: str = "ts") -> DataFrame:
     """Keep the first arrival of each event (batch form of ``dedupe_stream``).
 
     Events without an id are not known to be the same one, so all of them stay.
     """
     named = is_named(F.col(key))
-    return keep_one(events.where(named), [key], F.col(arrival).asc_nulls_last()).unionByName(events.where(~named))
+    once = keep_one(with_recipient(events.where(named)), [key, "_recipient"], F.col(arrival).asc_nulls_last())
+    return once.drop("_recipient").unionByName(events.where(~named))
 
 
 def is_named(event_id: Column) -> Column:

@@ -24,10 +24,12 @@ def start_guard(requests: DataFrame, settings: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
-def started_operations(operations: DataFrame, allowed: DataFrame, op_type: str = "bulk_sync") -> DataFrame:
+def started_operations(operations: DataFrame, allowed: DataFrame, op_type: str = "bulk_sync",
+                       now: Column | None = None) -> DataFrame:
     """The log with a pending operation per allowed request (user_id, operation_id)."""
     new = allowed.select("user_id", "operation_id", F.lit(op_type).alias("operation_type"),
-                         F.lit("pending").alias("status"), F.current_timestamp().alias("created_at"))
+                         F.lit("pending").alias("status"),
+                         (F.current_timestamp() if now is None else now).alias("created_at"))
     return insert_operations(operations, new)
 
 

@@ -9,6 +9,10 @@ result is carried back to the rows (a null key is a key like any other):
     rows --partial aggregate--> one row per (key, slice) --> carried in --+--> join --> result
 
 The rows cross the network once, spread over (key, slice); a hot key costs one small row per slice.
+
+Slices by a stretch of time may still be too large: all rows of a key may lie in one hour, or share one
+timestamp. ``place`` counts the rows per key and slice and cuts those with more than ``SLICE_ROWS`` at
+places of the whole order that split them evenly.
 """
 
 from __future__ import annotations
@@ -19,7 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockline.session import cut
+
 SLICE = "_slice"
+#: Rows of a key that may share a slice, and splitters that are compared at once.
+SLICE_ROWS, SPLITTERS = 1_000_000, 32
 
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -42,6 +50,50 @@ def number_slice(position: Column, width: int = 1_000_000) -> Column:
     return F.floor(position / F.lit(width))
 
 
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Join on columns of which null is a value like any other."""
+    renamed = right.withColumnsRenamed({c: f"_of_{c}" for c in columns})
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns]
+    joined = left.join(renamed, on or F.lit(True), how)
+    return joined.drop(*[f"_of_{c}" for c in columns])
+
+
+def place(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
+          most: int | None = None) -> DataFrame:
+    """``rows`` with the slice each belongs to: ``slice_by``, and a part of it where a key has more than ``most``
+    rows (default ``SLICE_ROWS``) there. Rows that have been placed stay where they are.
+
+    Crowded slices are found by a count, which runs at once. Only their rows are then dealt out by Spark's range
+    partitioning over the whole order, whose sampled bounds split any group evenly; the first row of each share is a
+    splitter, and the splitters are written once, so that every later reading cuts at the same places. Rows that are
+    alike in the whole ``order`` stay together.
+    """
+    if SLICE in rows.columns:
+        return rows
+    most = SLICE_ROWS if most is None else most
+    coarse = rows.withColumn("_coarse", slice_by)
+    group = [*keys, "_coarse"]
+    crowded = (coarse.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
+    total = crowded.agg(F.sum("_n")).first()[0]
+    if not total:
+        return coarse.withColumn(SLICE, F.struct(F.col("_coarse").alias("coarse"), F.lit(0).alias("part"))).drop("_coarse")
+    at = F.struct(*order)
+    shares = (_same(coarse.select(*group, at.alias("_at")), crowded.drop("_n"), group, "left_semi")
+              .repartitionByRange(max(2, -(-2 * total // most)), *group, "_at")
+              .withColumn("_share", F.spark_partition_id()))
+    firsts = shares.groupBy(*group, "_share").agg(F.min("_at").alias("_first"))
+    ordered = F.array_sort(F.collect_list("_first"))
+    nested = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(SPLITTERS)), lambda k: F.slice("_all", k, SPLITTERS))
+    splitters = cut(firsts.groupBy(*group).agg(ordered.alias("_all")).select(*group, nested.alias("_splitters")), "splitters")
+    # The last group of splitters that begins at or before the row, and the place among them.
+    outer = F.size(F.filter("_splitters", lambda s: F.element_at(s, 1) <= at))
+    inner = F.size(F.filter(F.element_at("_splitters", F.greatest("_outer", F.lit(1))), lambda s: s <= at))
+    part = F.coalesce((F.col("_outer") - 1) * SPLITTERS + inner, F.lit(0))
+    return (_same(coarse, splitters, group, "left").withColumn("_outer", outer)
+            .withColumn(SLICE, F.struct(F.col("_coarse").alias("coarse"), part.alias("part")))
+            .drop("_coarse", "_outer", "_splitters"))
+
+
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind == "sum":
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -52,16 +104,16 @@ def running(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    slice_by: Column,
+    slice_by: Column | None,
     values: Mapping[str, Running],
 ) -> DataFrame:
-    """Add one running column per entry of ``values`` to ``rows``.
+    """Add one running column per entry of ``values`` to ``rows``. Rows that have been placed keep their slices.
 
     ``slice_by`` is any column that never falls along ``order``; a struct of two such columns cuts
     finer, e.g. where very many rows of a key share one timestamp. ``rows`` is read twice, so an
     expensive input should be written first (``session.cut``).
     """
-    sliced = rows.withColumn(SLICE, slice_by)
+    sliced = rows if SLICE in rows.columns else rows.withColumn(SLICE, slice_by)
     group = [*keys, SLICE]
     inside = Window.partitionBy(*group).orderBy(*order)
     local = sliced.withColumns({
@@ -88,7 +140,7 @@ def numbered(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    slice_by: Column,
+    slice_by: Column | None = None,
     name: str = "position",
 ) -> DataFrame:
     """``row_number()`` for groups of any size."""

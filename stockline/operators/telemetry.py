@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.operators.scan import Running, running, time_slice
+from stockline.operators.sessions import event_stretches
 from stockline.session import cut
 
 # Upper bounds of the duration buckets, in seconds.
@@ -34,6 +36,8 @@ COUNTER_LABELS = {
 }
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Rows that selection may count up value by value in a task; quantiles from which it takes its next range, and their accuracy.
+SELECT_ROWS, SELECT_POINTS, SELECT_ACCURACY = 1_000_000, 256, 10_000
 
 
 def _mean(value: str) -> Column:
@@ -44,10 +48,19 @@ def counter_totals(metric_events: DataFrame, labels: Sequence[str]) -> DataFrame
     return metric_events.groupBy("name", *labels).agg(F.sum("value").alias("total"))
 
 
-def last_n_values(metric_events: DataFrame, labels: Sequence[str], n: int) -> DataFrame:
-    """The newest ``n`` values per key. Spark keeps at most ``n`` per key and task before the shuffle."""
-    newest = Window.partitionBy("name", *labels).orderBy(F.col("ts").desc(), F.col("seq").desc())
-    return (metric_events.withColumn("_rank", F.row_number().over(newest))
+def last_n_values(metric_events: DataFrame, labels: Sequence[str], n: int, shares: int = 64) -> DataFrame:
+    """The newest ``n`` values per key.
+
+    A tree of three levels, as a key may be everywhere: every task keeps at most ``n`` of its rows per key, ``shares``
+    groups per key keep at most ``n`` of those, and the last group gets at most ``n * shares`` rows, however many tasks
+    there were.
+    """
+    latest = [F.col("ts").desc(), F.col("seq").desc()]
+    share = F.pmod(F.xxhash64("ts", "seq"), F.lit(shares))
+    few = (metric_events.withColumn("_share", share)
+           .withColumn("_rank", F.row_number().over(Window.partitionBy("name", *labels, "_share").orderBy(*latest)))
+           .where(F.col("_rank") <= n).drop("_share"))
+    return (few.withColumn("_rank", F.row_number().over(Window.partitionBy("name", *labels).orderBy(*latest)))
             .where(F.col("_rank") <= n).drop("_rank"))
 
 
@@ -144,37 +157,97 @@ def gap_sessions(events: DataFrame, keys: Sequence[str], gap_seconds: int, order
 def outage_sessions(requests: DataFrame, keys: Sequence[str] = (), gap_seconds: int = 60,
                     threshold: int = 5) -> DataFrame:
     """Stretches of failures, each less than ``gap_seconds`` after the last, that reach the threshold;
-    the circuit opens at the failure that does."""
+    the circuit opens at the failure that does. Failures without a time belong to no stretch."""
     failures = requests.where(failure_type().isNotNull()).select(*keys, "ts", "request_id")
-    rows = cut(gap_sessions(failures, keys, gap_seconds, ["ts", "request_id"]), "failures")
-    sessions = (rows.groupBy(*keys, "session")
-                .agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
-                     F.count(F.lit(1)).alias("failures"), F.min("ordinal").alias("_first"))
-                .where(F.col("failures") >= threshold)
-                .withColumn("ordinal", F.col("_first") + F.lit(threshold - 1)))
-    opened = rows.select(*keys, "ordinal", F.col("ts").alias("opened_at"))
-    return sessions.join(opened, [*keys, "ordinal"]).select(
-        *keys, "started_at", "opened_at", "ended_at", "failures")
+    return opened_outages(event_stretches(failures, keys, gap_seconds, ["ts", "request_id"], threshold), keys, threshold)
 
 
-def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str,
-                      percentiles: Mapping[str, float] = PERCENTILES, width: float = 0.1) -> DataFrame:
-    """Nearest-rank percentiles per key, exact at any size.
+def opened_outages(stretches: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """The stretches of failures that reach the threshold."""
+    return stretches.where(F.col("events") >= threshold).select(
+        *keys, "started_at", F.element_at("firsts", threshold).alias("opened_at"), "ended_at",
+        F.col("events").alias("failures"))
 
-    Equal values are counted before the shuffle; counts run up over slices of the value range, and
-    the value at which they pass a rank is that percentile.
-    """
-    counts = (rows.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_n")))
-    upto = running(counts, keys, [value], F.floor(F.col(value) / F.lit(width)),
-                   {"_upto": Running("sum", F.col("_n"))})
-    totals = (rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")))
-    placed = upto.join(totals, list(keys))
 
-    def pick(share: float) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * F.lit(share)), F.col(value)))
-
-    return placed.groupBy(*keys).agg(*[pick(share).alias(name) for name, share in percentiles.items()])
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str,
+                      percentiles: Mapping[str, float] = PERCENTILES, few: int = SELECT_ROWS) -> DataFrame:
+    """Nearest-rank percentiles per key, exact at any size and for any distribution.
+
+    Each wanted rank keeps a range of values that holds it, at first all values of the key. As long as a range has more
+    than ``few`` rows, a round takes two values near the rank from approximate quantiles of the range, counts the rows
+    below, at, between and above them, and goes on with the part that holds the rank: usually what lies between, a small
+    share of the rows, or one of the two values itself. Then the distinct values that are left are counted up. So no task
+    gets more than ``few`` values of a range, however alike they are, and the counts decide, not the approximation. NaN is
+    no value.
+    """
+    number = F.col(value).cast("double")
+    known = rows.where(number.isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_value"))
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in percentiles.items()])
+    whole = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    goals = cut(whole.select("*", F.explode(names).alias("_goal")).select(
+        *keys, F.col("_goal.name").alias("_name"), F.ceil(F.col("_n") * F.col("_goal.share")).alias("_rank"), "_n", "_low",
+        "_high"), "ranks")
+    settled = F.col("_low") == F.col("_high")
+    done = []
+    while True:
+        done.append(goals.where(settled))
+        done.append(_counted_up(known, keys, goals.where(~settled & (F.col("_n") <= few))))
+        left = goals.where(~settled & (F.col("_n") > few))
+        if left.isEmpty():
+            break
+        goals = cut(_narrowed(known, keys, left), "ranks")
+    found = functools.reduce(DataFrame.unionByName, done)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_low"))).alias(name) for name in percentiles])
+
+
+def _inside(known: DataFrame, keys: Sequence[str], ranges: DataFrame) -> DataFrame:
+    """The values inside some ranges of their key."""
+    named = ranges.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = known.join(named, [*same, F.col("_value").between(F.col("_low"), F.col("_high"))])
+    return joined.drop(*[f"_of_{k}" for k in keys])
+
+
+def _counted_up(known: DataFrame, keys: Sequence[str], goals: DataFrame) -> DataFrame:
+    """Goals with few rows: the value at their rank."""
+    group = [*keys, "_low", "_high"]
+    counts = _inside(known, keys, goals.select(*group).distinct()).groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy(*group).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumnsRenamed({c: f"_of_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    holds = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_in") < F.col("_rank"))
+    return goals.join(placed, [*same, holds]).select(
+        *keys, "_name", F.lit(1).cast("long").alias("_rank"), F.col("_in").alias("_n"), F.col("_value").alias("_low"),
+        F.col("_value").alias("_high"))
+
+
+def _narrowed(known: DataFrame, keys: Sequence[str], goals: DataFrame) -> DataFrame:
+    """Goals with the part of their range that holds their rank."""
+    group = [*keys, "_low", "_high"]
+    shares = [k / SELECT_POINTS for k in range(SELECT_POINTS + 1)]
+    points = (_inside(known, keys, goals.select(*group).distinct()).groupBy(*group)
+              .agg(F.percentile_approx("_value", shares, SELECT_ACCURACY).alias("_points")))
+    renamed = points.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    at = F.floor(F.col("_rank") / F.col("_n") * SELECT_POINTS).cast("int")
+    lower = F.when(at <= 1, F.col("_low")).otherwise(F.get("_points", at - 1))
+    upper = F.when(at >= SELECT_POINTS - 2, F.col("_high")).otherwise(F.get("_points", at + 2))
+    marked = (goals.join(renamed, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
+              .select(*goals.columns, lower.alias("_from"), F.greatest(lower, upper).alias("_to")))
+    v, low, high = F.col("_value"), F.col("_from"), F.col("_to")
+    parts = [v < low, v == low, (v > low) & (v < high), (v == high) & (high > low), v > high]
+    counted = _inside(known, keys, marked).groupBy(*keys, *[c for c in marked.columns if c not in keys]).agg(*[
+        x for k, part in enumerate(parts) for x in (
+            F.count_if(part).alias(f"_n{k}"), F.min(F.when(part, v)).alias(f"_least{k}"), F.max(F.when(part, v)).alias(f"_most{k}"))])
+    before, chosen = F.lit(0), None
+    for k in range(len(parts)):
+        here = F.struct((F.col("_rank") - before).alias("rank"), F.col(f"_n{k}").alias("n"), F.col(f"_least{k}").alias("low"),
+                        F.col(f"_most{k}").alias("high"))
+        before = before + F.col(f"_n{k}")
+        holds = F.col("_rank") <= before
+        chosen = F.when(holds, here) if chosen is None else chosen.when(holds, here)
+    return counted.withColumn("_part", chosen).select(
+        *keys, "_name", F.col("_part.rank").alias("_rank"), F.col("_part.n").alias("_n"), F.col("_part.low").alias("_low"),
+        F.col("_part.high").alias("_high"))
 
 
 def latency_report(requests: DataFrame) -> DataFrame:

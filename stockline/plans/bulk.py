@@ -68,6 +68,32 @@ def bulk_sync(export: DataFrame, resolved: DataFrame, inventory: DataFrame, now:
     return merged.unionByName(unlinked.select(merged.columns))
 
 
+def merge_outcomes(outcomes: DataFrame, inventory: DataFrame, now: Column, first_id: int) -> DataFrame:
+    """The inventory after an import whose products are classified already (``classify_export``): what ``bulk_sync``
+    gives, with new items numbered from ``first_id`` on. Nothing is prepared, mapped or matched again: updated products
+    join their items, created ones are added."""
+    stock_id = F.col("id").cast("string").alias("external_stock_id")
+    changes = outcomes.where(F.col("outcome") == "updated").select(
+        "user_id", "blueprint_id", stock_id, F.col("quantity").alias("_quantity"), F.col("price_cents").alias("_price"),
+        F.col("properties_hash").alias("_properties"), F.lit(True).alias("_changed")).dropDuplicates(ITEM_KEY)
+    linked = inventory.where(F.col("external_stock_id").isNotNull())
+    # Rows without a stock id match nothing; as null join keys they would share one partition.
+    unlinked = inventory.where(F.col("external_stock_id").isNull())
+    changed = F.col("_changed").isNotNull()
+    known = linked.join(changes, ITEM_KEY, "left").withColumns({
+        "quantity": F.when(changed, F.col("_quantity")).otherwise(F.col("quantity")),
+        "price_cents": F.when(changed, F.col("_price")).otherwise(F.col("price_cents")),
+        "properties": F.when(changed, F.col("_properties")).otherwise(F.col("properties")),
+        "updated_at": F.when(changed, now).otherwise(F.col("updated_at"))}).select(*inventory.columns)
+    kinds = {f.name: f.dataType for f in inventory.schema.fields}
+    created = outcomes.where(F.col("outcome") == "created").select(
+        F.lit(None).cast("long").alias("id"), "user_id", F.col("blueprint_id").cast(kinds["blueprint_id"]).alias("blueprint_id"),
+        stock_id, "quantity", "price_cents", F.col("properties_hash").alias("properties"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in ("description", "user_data_field", "graded")],
+        now.alias("created_at"), now.alias("updated_at"))
+    return known.unionByName(unlinked).unionByName(assign_ids(created, first_id).select(inventory.columns))
+
+
 def assign_ids(inventory: DataFrame, start: int, buckets: int = 4096) -> DataFrame:
     """Give rows without an id the numbers from ``start`` on: dense, and the same on every run."""
     fresh = inventory.where(F.col("id").isNull()).drop("id")

@@ -1,18 +1,22 @@
-"""End-to-end jobs: read the stored tables, run one plan, write the next snapshot and the outbox.
+"""End-to-end jobs: read the stored tables, run one plan, write the next version and the outbox.
 
-Inventory lives in numbered snapshots (``sources.writers``). A job reads the newest one and writes
-the next; run again after a failure it starts from the newest snapshot again. Of two jobs that started
-from the same snapshot the second to finish gets ``VersionTaken``, and must be run again. Outbound
-records are written before the snapshot is named, to a folder named by the job's owner: send those of
-the owner that the version's record names.
+The inventory lives in versions of seller buckets (``sources.snapshots``). A job reads the buckets of the sellers it is
+about, writes only those, and names the next version. If another job has changed the same buckets meanwhile, the job is
+run again from the newest version, up to ``ATTEMPTS`` times with growing pauses; then ``VersionTaken`` is raised.
+Outbound records are written before the version is named, to a folder named by the job's owner: send those of the owners
+that versions name.
 """
 
 from __future__ import annotations
 
+import functools
+import random
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockline import schemas
@@ -23,39 +27,73 @@ from stockline.operators.products import chunk_index
 from stockline.plans import bulk
 from stockline.plans import reconcile as rec
 from stockline.session import cut
-from stockline.sources import readers, writers
+from stockline.sources import readers, snapshots, writers
+from stockline.streaming.fold_log import FoldLog
 from stockline.streaming.stock import settled_inventory
 
+ATTEMPTS, PAUSE_SECONDS = 5, 0.5
 
-def _load(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    version = writers.current_version(spark, path)
-    return writers.read_snapshot(spark, path, schemas.INVENTORY, version), version
 
+def repeated(job: Callable) -> Callable:
+    """Run a job again, from the newest version, when another one was faster."""
+    @functools.wraps(job)
+    def run(*args, **kwargs):
+        for attempt in range(1, ATTEMPTS + 1):
+            try:
+                return job(*args, **kwargs)
+            except snapshots.VersionTaken:
+                if attempt == ATTEMPTS:
+                    raise
+                time.sleep(PAUSE_SECONDS * 2 ** attempt * random.uniform(0.5, 1))
+    return run
 
-def _owner() -> str:
-    return uuid.uuid4().hex
 
+def _now() -> Column:
+    """The present time, taken once: the same whenever the result is read."""
+    return F.timestamp_micros(F.lit(time.time_ns() // 1000))
 
-def _store(inventory: DataFrame, path: str, version: int) -> None:
-    """Number the new rows, from the highest id ever given, and write the next snapshot."""
-    fresh = cut(inventory, "inventory")
-    last = writers.last_id(inventory.sparkSession, path)
-    writers.write_inventory(bulk.assign_ids(fresh, last + 1), path, version + 1, _owner())
+
+@dataclass(frozen=True)
+class _Work:
+    """What a job reads and replaces: the buckets of some sellers, as they are in the newest version."""
+
+    path: str
+    base: snapshots.Snapshot
+    buckets: list[int]
+    inventory: DataFrame
+    owner: str
+
+    @staticmethod
+    def on(path: str, *sellers: DataFrame) -> _Work:
+        spark = sellers[0].sparkSession
+        base = snapshots.snapshot(spark, path)
+        buckets = snapshots.touched_buckets(base, *sellers)
+        rows = snapshots.read_buckets(spark, path, base, schemas.INVENTORY, buckets)
+        return _Work(path, base, buckets, rows, uuid.uuid4().hex)
+
+    def outbox(self, path: str, kind: str) -> str:
+        return f"{path}/{kind}={self.base.version + 1}/owner={self.owner}"
+
+    def store(self, inventory: DataFrame) -> snapshots.Snapshot:
+        return snapshots.replace_buckets(inventory, self.path, self.base, self.buckets, self.owner)
 
 
+@repeated
 def run_import(spark: SparkSession, export_path: str, catalog_path: str, inventory_path: str,
                multiline: bool = True, sellers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Import all exports, or those of ``sellers`` (user_id); returns (summary per seller, progress per
-    batch of chunks)."""
-    inventory, version = _load(spark, inventory_path)
+    batch of chunks). Products are classified once; their outcomes give the counts and the new inventory."""
     rows = readers.read_export(spark, export_path, multiline=multiline)
     if sellers is not None:
         rows = rows.join(sellers.select("user_id").distinct(), "user_id", "left_semi")
     export = cut(rows, "export")
+    work = _Work.on(inventory_path, export)
     resolved = resolve_catalog(readers.read_catalog(spark, catalog_path))
-    outcomes = bulk.classify_export(chunk_index(export), resolved, inventory)
+    outcomes = cut(bulk.classify_export(chunk_index(export), resolved, work.inventory), "outcomes")
     chunks = cut(bulk.chunk_summary(outcomes), "chunks")
-    _store(bulk.bulk_sync(export, resolved, inventory, F.current_timestamp()), inventory_path, version)
+    created = chunks.agg(F.sum("created")).first()[0] or 0
+    first_id = snapshots.take_ids(spark, inventory_path, created) if created else 0
+    work.store(bulk.merge_outcomes(outcomes, work.inventory, _now(), first_id))
     summary = chunks.groupBy("user_id").agg(
         F.sum("processed").alias("total_products"),
         *[F.sum(c).alias(c) for c in ("processed", "created", "updated", "skipped")])
@@ -86,49 +124,62 @@ class Import:
 
 
 def run_requested_import(spark: SparkSession, requests: DataFrame, settings: DataFrame, operations: DataFrame,
-                         export_path: str, catalog_path: str, inventory_path: str, multiline: bool = True) -> Import:
+                         export_path: str, catalog_path: str, inventory_path: str, multiline: bool = True,
+                         on_start: Callable[[DataFrame, DataFrame], None] | None = None) -> Import:
     """Import for the sellers who ask and may: operations are entered, and sellers and operations move
     with the import.
 
     ``requests`` has user_id, operation_id and force. ``answers`` tells who was refused and why.
-    Allowed sellers become active, or error if the import fails, and then their operations stay
-    pending. A seller without any product is done with zero of everything. The sellers stand in
-    initial_sync only while the job runs; a caller that shows them meanwhile writes ``started``.
+    Allowed sellers become active, or error if the import fails, and then their operations stay pending. A seller
+    without any product is done with zero of everything. ``on_start`` is given the settings, with the allowed sellers in
+    initial_sync, and the operations with their pending ones before the import begins, so that both can be shown while it
+    runs. An import that was only slower than others on the same sellers is no failure of theirs: it is repeated, and
+    ``VersionTaken`` is raised if that does not help.
     """
+    asked_at = _now()
     answers = cut(start_guard(requests, settings), "answers")
     allowed = answers.where("allowed")
-    pending = started_operations(operations, allowed)
+    pending = cut(started_operations(operations, allowed, now=asked_at), "operations")
+    if on_start is not None:
+        on_start(started(settings, allowed, asked_at), pending)
     try:
         counted, progress = run_import(spark, export_path, catalog_path, inventory_path, multiline, allowed)
+    except snapshots.VersionTaken:
+        raise
     except Exception as failure:
-        after = moved_settings(settings, allowed, "error", F.current_timestamp(), str(failure))
+        after = moved_settings(settings, allowed, "error", _now(), str(failure))
         return Import(answers, after, pending, None, str(failure))
+    done_at = _now()
     sellers = allowed.select("user_id").distinct()
     summary = sellers.join(counted, "user_id", "left").na.fill(0)
     asked = allowed.select("operation_id").distinct()
-    done = finish_operations(pending.join(asked, "operation_id", "left_semi"), summary, F.current_timestamp())
+    done = finish_operations(pending.join(asked, "operation_id", "left_semi"), summary, done_at)
     others = pending.join(asked, "operation_id", "left_anti")
-    return Import(answers, moved_settings(settings, allowed, "active", F.current_timestamp()),
+    return Import(answers, moved_settings(settings, allowed, "active", done_at),
                   others.unionByName(done.select(others.columns)), progress, None)
 
 
-def started(settings: DataFrame, allowed: DataFrame) -> DataFrame:
+def started(settings: DataFrame, allowed: DataFrame, now: Column | None = None) -> DataFrame:
     """The settings while the import of ``allowed`` sellers runs."""
-    return moved_settings(settings, allowed, "initial_sync", F.current_timestamp())
+    return moved_settings(settings, allowed, "initial_sync", F.current_timestamp() if now is None else now)
 
 
+@repeated
 def run_reconcile(spark: SparkSession, export_path: str, catalog_path: str, inventory_path: str,
                   multiline: bool = True, blueprint_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Bring the inventory in line with the remote export, or with what it says of one blueprint;
     returns (summary, errors)."""
-    inventory, version = _load(spark, inventory_path)
-    export = readers.read_export(spark, export_path, blueprint_id=blueprint_id, multiline=multiline)
+    export = cut(readers.read_export(spark, export_path, blueprint_id=blueprint_id, multiline=multiline), "export")
+    work = _Work.on(inventory_path, export)
     resolved = resolve_catalog(readers.read_catalog(spark, catalog_path))
-    outcomes = cut(rec.reconcile_outcomes(export, resolved, inventory), "outcomes")
-    _store(rec.reconcile(outcomes, inventory, F.current_timestamp()), inventory_path, version)
+    outcomes = cut(rec.reconcile_outcomes(export, resolved, work.inventory), "outcomes")
+    created = outcomes.where(F.col("outcome") == "created").count()
+    first_id = snapshots.take_ids(spark, inventory_path, created) if created else 0
+    work.store(bulk.assign_ids(rec.reconcile(outcomes, work.inventory, _now()), first_id))
     return rec.reconcile_summary(outcomes), rec.reconcile_errors(outcomes)
 
 
+@repeated
 def run_edits(spark: SparkSession, patches: DataFrame, inventory_path: str, outbox_path: str,
               order: str = "seq") -> DataFrame:
     """Apply all valid patches and queue the items that must be sent out; returns refused patches.
@@ -136,55 +187,52 @@ def run_edits(spark: SparkSession, patches: DataFrame, inventory_path: str, outb
     Items whose stored properties are no JSON object keep them (``edits.broken_properties`` lists those
     patches).
     """
-    inventory, version = _load(spark, inventory_path)
     checked = cut(edits.validate_patch(patches), "patches")
     valid = edits.collapse_patches(checked.where(F.size("errors") == 0), order)
-    changes = edits.detect_changes(inventory, valid)
-    edited = cut(edits.apply_patches(inventory, valid, F.current_timestamp()), "edited")
+    work = _Work.on(inventory_path, valid)
+    changes = edits.detect_changes(work.inventory, valid)
+    edited = cut(edits.apply_patches(work.inventory, valid, _now()), "edited")
     due = edited.join(changes.where("sync_needed").select("id"), "id", "left_semi")
-    owner = _owner()
-    writers.write_outbox(writers.update_outbox(edits.build_update_payload(due)),
-                         f"{outbox_path}/update={version + 1}/owner={owner}")
-    writers.write_inventory(edited, inventory_path, version + 1, owner)
+    writers.write_outbox(writers.update_outbox(edits.build_update_payload(due)), work.outbox(outbox_path, "update"))
+    work.store(edited)
     return checked.where(F.size("errors") > 0)
 
 
+@repeated
 def run_deletes(spark: SparkSession, requests: DataFrame, inventory_path: str, outbox_path: str) -> DataFrame:
     """Delete items and queue the remote deletes; returns requests that name no item."""
-    inventory, version = _load(spark, inventory_path)
-    kept, deleted, missing = edits.delete_items(inventory, requests)
-    owner = _owner()
-    writers.write_outbox(writers.delete_outbox(deleted), f"{outbox_path}/delete={version + 1}/owner={owner}")
-    writers.write_inventory(kept, inventory_path, version + 1, owner)
+    work = _Work.on(inventory_path, requests)
+    kept, deleted, missing = edits.delete_items(work.inventory, requests)
+    writers.write_outbox(writers.delete_outbox(deleted), work.outbox(outbox_path, "delete"))
+    work.store(kept)
     return missing
 
 
+@repeated
 def run_purchases(spark: SparkSession, requests: DataFrame, export: DataFrame, inventory_path: str,
                   outbox_path: str, settings: DataFrame | None = None) -> DataFrame:
     """Decide purchases, lower the stock and queue the remote changes; returns the decisions.
 
     With ``settings``, sellers without settings or token sell nothing.
     """
-    inventory, version = _load(spark, inventory_path)
-    decided = cut(purchases.decide_purchases(requests, inventory, export, settings), "decided")
+    work = _Work.on(inventory_path, requests)
+    decided = cut(purchases.decide_purchases(requests, work.inventory, export, settings), "decided")
     product = F.expr("try_cast(external_stock_id as bigint)")
     remote = decided.where(F.col("remote_action").isNotNull()).select(
         "user_id", "request_id", product.alias("product_id"), F.col("remote_action").alias("action"),
         F.col("remote_delta").alias("delta_quantity"))
-    owner = _owner()
-    writers.write_outbox(remote, f"{outbox_path}/purchase={version + 1}/owner={owner}")
-    writers.write_inventory(purchases.settle_purchases(inventory, decided, F.current_timestamp()),
-                            inventory_path, version + 1, owner)
+    writers.write_outbox(remote, work.outbox(outbox_path, "purchase"))
+    work.store(purchases.settle_purchases(work.inventory, decided, _now()))
     return decided
 
 
+@repeated
 def run_settle(spark: SparkSession, inventory_path: str, ledger_path: str) -> int:
-    """Write what the streaming ledger has changed so far as the next snapshot; returns its number.
+    """Write what the streaming ledger has changed so far as the next version; returns its number.
 
-    The stream must be stopped; it then goes on with the same checkpoint, the new snapshot and a
-    fresh ledger folder, so that its log never grows beyond one snapshot's time.
+    The stream must be stopped; it then goes on with the same checkpoint, the new version and a
+    fresh ledger folder, so that its log never grows beyond one version's time.
     """
-    inventory, version = _load(spark, inventory_path)
-    writers.write_inventory(settled_inventory(inventory, ledger_path, F.current_timestamp()),
-                            inventory_path, version + 1, _owner())
-    return version + 1
+    changed = FoldLog.open(spark, ledger_path).folds(spark).select("user_id")
+    work = _Work.on(inventory_path, changed)
+    return work.store(settled_inventory(work.inventory, ledger_path, _now())).version

@@ -15,7 +15,7 @@ from stockline.plans import jobs
 from stockline.plans.order_flow import accept_events as accept, event_answers, event_deltas
 from stockline.registry.bulk import outcomes
 from stockline.registry.items import condition_sql
-from stockline.registry.orders import _EVENTS_APPLIED
+from stockline.registry.orders import events_applied
 from stockline.registry.service import _BUCKET_WALK
 from stockline.registry.views import uuid_sql, with_views
 from stockline.session import cut, scratch_path, stream_session
@@ -114,6 +114,73 @@ def import_lifecycle(spark, sf_dir):
             .select("user_id", "allowed", "reason", "operation_status", *counts, "sync_status", "last_error"))
 
 
+def _stored_inventory(spark, sf_dir):
+    path = scratch_path(spark, "inventory")
+    wr.write_inventory(fx.full_inventory(spark, sf_dir), path, 1)
+    return path
+
+
+@query(with_views("full_export full_inventory resolved", """
+    , changes AS (SELECT e.* FROM full_export e JOIN resolved r ON e.blueprint_id=r.blueprint_id
+        WHERE e.id<>0 AND e.blueprint_id<>0 AND r.table_name<>'op_prints')
+    SELECT i.id, true AS has_id, CAST(coalesce(i.user_id,c.user_id) AS VARCHAR) AS user_id,
+           CAST(coalesce(i.blueprint_id,c.blueprint_id) AS INT) AS blueprint_id,
+           CASE WHEN i.id IS NULL THEN CAST(c.id AS VARCHAR) ELSE i.external_stock_id END AS external_stock_id,
+           coalesce(c.quantity,i.quantity) AS quantity, coalesce(c.price_cents,i.price_cents) AS price_cents, i.description
+    FROM full_inventory i FULL JOIN changes c ON i.user_id=c.user_id AND i.blueprint_id=c.blueprint_id
+         AND i.external_stock_id=CAST(c.id AS VARCHAR)"""))
+def import_job(spark, sf_dir):
+    """Import all exports from files into the stored inventory, then read it back; new items have ids of their own."""
+    path, catalog_path = _stored_inventory(spark, sf_dir), scratch_path(spark, "catalog")
+    for name, frame in fx.catalog_tables(spark, sf_dir).items():
+        frame.withColumn("blueprint_id", F.col("blueprint_id").cast("int")).write.parquet(f"{catalog_path}/{name}")
+    export = fx.full_export(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))
+    export_path = _store(export.drop("seq").repartition("user_id"), "export", "json", ["user_id"])
+    known = wr.last_id(spark, path)
+    jobs.run_import(spark, export_path, catalog_path, path, multiline=False)
+    rows = wr.read_snapshot(spark, path, schemas.INVENTORY)
+    return rows.select(F.when(F.col("id") <= known, F.col("id")).alias("id"), F.col("id").isNotNull().alias("has_id"),
+                       "user_id", "blueprint_id", "external_stock_id", "quantity", "price_cents", "description")
+
+
+@query(with_views("full_inventory", """
+    SELECT id, CAST(user_id AS VARCHAR) AS user_id,
+           CASE WHEN user_id%2=0 AND blueprint_id%5=0 THEN CAST(quantity+3 AS INT) ELSE quantity END AS quantity,
+           CASE WHEN user_id%2=0 AND blueprint_id%5=0 THEN 77 ELSE price_cents END AS price_cents,
+           CASE WHEN user_id%2=0 AND blueprint_id%10=0 THEN 'new' ELSE description END AS description
+    FROM full_inventory"""))
+def edit_job(spark, sf_dir):
+    """Edit items of half the sellers in the stored inventory, in two patches for some, then read it back."""
+    path = _stored_inventory(spark, sf_dir)
+    items = fx.full_inventory(spark, sf_dir).where((F.col("user_id") % 2 == 0) & (F.col("blueprint_id") % 5 == 0)).select(
+        F.col("id").alias("item_id"), F.col("user_id").cast("string").alias("user_id"), "blueprint_id", "quantity")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("user_data_field", "string"), ("graded", "boolean"), ("properties", "string"))}
+    first = items.withColumns({"quantity": F.col("quantity") + 3, "price_cents": F.lit(77), "seq": F.lit(1),
+                               "description": F.lit(None).cast("string"), **none})
+    second = items.where(F.col("blueprint_id") % 10 == 0).withColumns({
+        "quantity": F.lit(None).cast("int"), "price_cents": F.lit(None).cast("int"), "seq": F.lit(2),
+        "description": F.lit("new"), **none})
+    jobs.run_edits(spark, cut(first.unionByName(second), "patches"), path, scratch_path(spark, "outbox"))
+    return wr.read_snapshot(spark, path, schemas.INVENTORY).select("id", "user_id", "quantity", "price_cents", "description")
+
+
+@query(with_views("full_inventory", """
+    SELECT id, CAST(user_id AS VARCHAR) AS user_id, quantity, false AS sent
+    FROM full_inventory WHERE NOT (user_id%3=0 AND blueprint_id%7=0)
+    UNION ALL SELECT id, CAST(user_id AS VARCHAR), NULL, true FROM full_inventory
+    WHERE user_id%3=0 AND blueprint_id%7=0 AND external_stock_id IS NOT NULL"""))
+def delete_job(spark, sf_dir):
+    """Delete items of a third of the sellers from the stored inventory; what is left, and the deletes sent out."""
+    path, outbox = _stored_inventory(spark, sf_dir), scratch_path(spark, "outbox")
+    wanted = fx.full_inventory(spark, sf_dir).where((F.col("user_id") % 3 == 0) & (F.col("blueprint_id") % 7 == 0)).select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("id").alias("item_id"))
+    jobs.run_deletes(spark, cut(wanted, "requests"), path, outbox)
+    left = wr.read_snapshot(spark, path, schemas.INVENTORY).select("id", "user_id", "quantity", F.lit(False).alias("sent"))
+    sent = spark.read.schema("user_id string, item_id long, product_id long").json(f"{outbox}/delete=2")
+    return left.unionByName(sent.select(F.col("product_id").alias("id"), "user_id", F.lit(None).cast("int").alias("quantity"),
+                                        F.lit(True).alias("sent")))
+
+
 @query(with_views("catalog", "SELECT print_id, table_name, CAST(blueprint_id AS INT) AS blueprint_id, priority FROM catalog"))
 def read_catalog(spark, sf_dir):
     path = scratch_path(spark, "catalog")
@@ -170,25 +237,47 @@ def write_inventory(spark, sf_dir):
     return wr.read_snapshot(spark, path, schemas.INVENTORY)
 
 
-def _event_files(spark, sf_dir, retries=False):
-    events = fx.order_events(spark, sf_dir)
+# The feed's events: those of some orders have no id (and a time of their own, as nothing else puts them in order), and
+# the sellers of some orders share one id.
+_ID = """CASE WHEN order_id%11=0 THEN 'unknown' WHEN order_id%13=0 THEN CAST(order_id AS VARCHAR)
+         ELSE CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) END"""
+_TS = "CASE WHEN order_id%11=0 THEN ts+to_milliseconds(order_id) ELSE ts END"
+_EVENTS_APPLIED = events_applied(_ID, _TS)
+
+
+def _event_files(spark, sf_dir, retries=False, by_year=False):
+    order = F.col("data.id")
+    ts = F.when(order % 11 == 0, F.timestamp_millis(F.unix_millis("ts") + order)).otherwise(F.col("ts"))
+    events = fx.order_events(spark, sf_dir).withColumns({
+        "id": F.when(order % 13 == 0, order.cast("string")).otherwise(F.col("id")), "ts": ts})
+    events = events.withColumn("id", F.when(order % 11 != 0, F.col("id")))
     if retries:
-        events = events.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        copies = F.when(F.col("id").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        events = events.withColumn("_copy", F.explode(copies))
     body = F.to_json(F.struct("id", "cause", "mode", "data"))
     envelope = events.select(F.col("ts").alias("received_at"), F.lit(None).cast("string").alias("user_id"),
                              F.lit("").alias("signature"), body.alias("body"))
-    return _store(envelope, "events", "json")
+    if not by_year:
+        return _store(envelope, "events", "json")
+    path, envelope = scratch_path(spark, "events"), cut(envelope, "envelope")
+    first, last = envelope.agg(F.min(F.year("received_at")), F.max(F.year("received_at"))).first()
+    for year in range(first, last + 1):  # one after another, as a feed brings them
+        envelope.where(F.year("received_at") == year).coalesce(1).write.mode("append").json(path)
+    return path
 
 
 @query(with_views("lines", f"""
-    SELECT CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS id, ts, cause, state,
-           {uuid_sql('user_id')} AS seller, CAST(count(*) AS INT) AS items, CAST(sum(quantity) AS BIGINT) AS quantity
+    SELECT {_ID} AS id, {_TS} AS ts, cause, state, {uuid_sql('user_id')} AS seller, CAST(count(*) AS INT) AS items,
+           CAST(sum(quantity) AS BIGINT) AS quantity, 1::BIGINT AS of_its_key
     FROM lines GROUP BY order_id, user_id, ts, cause, state"""))
 def read_order_events(spark, sf_dir):
     events = rd.read_order_events(spark, _event_files(spark, sf_dir), stream=False)
     quantity = F.aggregate("data.order_items", F.lit(0).cast("long"), lambda a, i: a + i.quantity)
-    return events.select("id", "ts", "cause", "data.state", F.col("data.seller.id").alias("seller"),
-                         F.size("data.order_items").alias("items"), quantity.alias("quantity"))
+    shown = cut(events.select("event_key", "id", "ts", "cause", "data.state", F.col("data.seller.id").alias("seller"),
+                              F.size("data.order_items").alias("items"), quantity.alias("quantity")), "feed")
+    # Events with the same key and seller: every one has a key of its own, with or without an id.
+    same = shown.groupBy("event_key", "seller").agg(F.count(F.lit(1)).alias("of_its_key"))
+    return shown.join(same, ["event_key", "seller"]).drop("event_key")
 
 
 @query("""
@@ -284,16 +373,34 @@ def evolve_schema(spark, sf_dir):
 
 # --- streams ----------------------------------------------------------------------------------
 
-@query(_EVENTS_APPLIED + f"""
+_LEDGER = _EVENTS_APPLIED + f"""
     SELECT {uuid_sql('user_id')} AS user_id, event_id, product_id AS external_stock_id, CAST(ln AS INT) AS ln, d AS delta,
            CAST(q AS BIGINT) AS new_quantity,
-           CASE WHEN q0 IS NULL THEN 'Product not found in local inventory' END AS error FROM l2""")
+           CASE WHEN q0 IS NULL THEN 'Product not found in local inventory' END AS error FROM l2"""
+
+
+def _ledger_rows(spark, path):
+    name = F.when(F.col("event_id").startswith("unknown "), "unknown").otherwise(F.col("event_id"))
+    return spark.read.parquet(f"{path}/ledger").select(
+        "user_id", name.alias("event_id"), "external_stock_id", "ln", "delta", "new_quantity", "error")
+
+
+@query(_LEDGER)
 def stream_stock_ledger(spark, sf_dir):
     events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, retries=True)))
     out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
     st.stream_stock_ledger(event_deltas(events), _domain_inventory_all(spark, sf_dir), out, checkpoint).awaitTermination()
-    return spark.read.parquet(f"{out}/ledger").select(
-        "user_id", "event_id", "external_stock_id", "ln", "delta", "new_quantity", "error")
+    return _ledger_rows(spark, out)
+
+
+@query(_LEDGER)
+def stock_ledger_triggers(spark, sf_dir):
+    """The same in a trigger per year, over small buckets and runs that are merged two by two."""
+    feed = rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, by_year=True), max_files_per_trigger=1)
+    out, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "ledger-checkpoint")
+    st.stream_stock_ledger(event_deltas(feed), _domain_inventory_all(spark, sf_dir), out, checkpoint,
+                           bucket_items=2000, fan=2, levels=2).awaitTermination()
+    return _ledger_rows(spark, out)
 
 
 @query(_EVENTS_APPLIED + """
@@ -313,8 +420,8 @@ def _domain_inventory_all(spark, sf_dir):
     return cut(fx.inventory(spark, sf_dir).withColumn("user_id", fx.uuid_text(F.col("user_id"))), "inventory")
 
 
-@query(with_views("lines", """
-    SELECT DISTINCT CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS id, ts FROM lines"""))
+@query(with_views("lines", f"""
+    SELECT id, ts FROM (SELECT DISTINCT order_id, user_id, {_ID} AS id, {_TS} AS ts FROM lines)"""))
 def dedupe_stream(spark, sf_dir):
     events = st.dedupe_stream(rd.read_order_events(stream_session(spark), _event_files(spark, sf_dir, retries=True)))
     out, checkpoint = scratch_path(spark, "deduped"), scratch_path(spark, "deduped-checkpoint")
@@ -322,10 +429,17 @@ def dedupe_stream(spark, sf_dir):
     return spark.read.schema("id string, ts timestamp").parquet(out)
 
 
+def _late_stream(rows, spread, label, triggers=5):
+    """A table as a stream of one file per trigger, each with rows of all times."""
+    path = scratch_path(rows.sparkSession, label)
+    for k in range(triggers):
+        rows.where(F.pmod(spread, F.lit(triggers)) == k).coalesce(1).write.mode("append").parquet(path)
+    return (stream_session(rows.sparkSession).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            .parquet(path))
+
+
 def _request_stream(spark, sf_dir, label):
-    requests = fx.requests(spark, sf_dir)
-    path = _store(requests, label)
-    return stream_session(spark).readStream.schema(requests.schema).parquet(path)
+    return _late_stream(cut(fx.requests(spark, sf_dir), label), F.col("request_id"), label)
 
 
 _ALERTS = with_views("requests", """
@@ -342,12 +456,17 @@ def alert_windows(spark, sf_dir):
     return sv.alert_windows(fx.requests(spark, sf_dir), "1 hour", None, 0.1, 2)
 
 
+def _reported(stream, report, label):
+    """Keep a report of a stream, trigger by trigger, and read it."""
+    out, checkpoint = scratch_path(stream.sparkSession, label), scratch_path(stream.sparkSession, f"{label}-checkpoint")
+    sv.run_report(stream, report, out, checkpoint).awaitTermination()
+    return sv.report_rows(stream.sparkSession, stream.schema, report, out)
+
+
 @query(_ALERTS)
 def stream_alert_windows(spark, sf_dir):
-    stream = sv.alert_windows(_request_stream(spark, sf_dir, "requests"), "1 hour", None, 0.1, 2)
-    out, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-checkpoint")
-    sinks.run_updates(stream, out, checkpoint)
-    return sinks.latest_updates(spark, out, ["window_start"])
+    """In five triggers of which each brings rows of all times, so that most rows are late."""
+    return _reported(_request_stream(spark, sf_dir, "requests"), sv.alert_report("1 hour", None, 0.1, 2), "alerts")
 
 
 @query("""
@@ -369,17 +488,14 @@ _OUTAGES = with_views("requests", """
 
 @query(_OUTAGES)
 def outage_windows(spark, sf_dir):
-    return sv.outage_windows(fx.requests(spark, sf_dir), ["endpoint"], "30 minutes", 3)
+    return sv.outage_windows(fx.requests(spark, sf_dir), ["endpoint"], 1800, 3).drop("opened_at")
 
 
-@query(_OUTAGES + " AND max(ts)<(SELECT max(ts) FROM requests)-INTERVAL 45 MINUTE")
+@query(_OUTAGES)
 def stream_outage_windows(spark, sf_dir):
-    # Append mode: sessions that the watermark has not passed yet stay open.
-    stream = sv.outage_windows(_request_stream(spark, sf_dir, "requests"), ["endpoint"], "30 minutes", 3)
-    out, checkpoint = scratch_path(spark, "outages"), scratch_path(spark, "outages-checkpoint")
-    sinks.run_available(stream, out, checkpoint)
-    newest = F.lit(fx.requests(spark, sf_dir).agg(F.max("ts")).first()[0])
-    return spark.read.schema(stream.schema).parquet(out).where(F.col("ended_at") < newest - F.expr("interval 45 minutes"))
+    """In five triggers of which each brings failures of all times: stretches grow together as rows come in."""
+    stream = _request_stream(spark, sf_dir, "requests")
+    return _reported(stream, sv.outage_report(["endpoint"], 1800, 3), "outages").drop("opened_at")
 
 
 _METRICS = with_views("outcomes", """
@@ -401,27 +517,25 @@ def sync_metrics(spark, sf_dir):
 
 @query(_METRICS)
 def stream_sync_metrics(spark, sf_dir):
-    path = _store(_timed_outcomes(spark, sf_dir), "outcomes")
-    rows = stream_session(spark).readStream.schema(
-        "ts timestamp, operation_type string, outcome string").parquet(path)
-    out, checkpoint = scratch_path(spark, "metrics"), scratch_path(spark, "metrics-checkpoint")
-    sinks.run_updates(sv.sync_metrics(rows), out, checkpoint)
-    return sinks.latest_updates(spark, out, ["window_start", "operation_type", "action"])
+    timed = _timed_outcomes(spark, sf_dir)
+    return _reported(_late_stream(timed, F.xxhash64("ts", "outcome"), "outcomes"), sv.sync_report(), "metrics")
 
 
 @query(_BUCKET_WALK + """
     SELECT user_id, request_id, allowed,
            CASE WHEN NOT allowed THEN CAST(start+21600000000-t AS DOUBLE)/1000000.0 END AS wait_seconds FROM walk""")
 def stream_throttle_audit(spark, sf_dir):
-    stream = sv.stream_throttle_audit(_request_stream(spark, sf_dir, "requests"), 3, 21_600)
+    requests = fx.requests(spark, sf_dir)
+    requests = stream_session(spark).readStream.schema(requests.schema).parquet(_store(requests, "requests"))
+    stream = sv.stream_throttle_audit(requests, 3, 21_600)
     out, checkpoint = scratch_path(spark, "audit"), scratch_path(spark, "audit-checkpoint")
     sinks.run_available(stream, out, checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 @query(with_views("lines settings", f"""
-    , e AS (SELECT DISTINCT order_id, user_id FROM lines)
-    SELECT CAST(order_id AS VARCHAR)||'-'||CAST(e.user_id AS VARCHAR) AS id,
+    , e AS (SELECT DISTINCT order_id, user_id, {_ID} AS id FROM lines)
+    SELECT id,
            CASE WHEN order_id%5=0 THEN NULL WHEN order_id%5 IN (1,2) OR s.user_id IS NULL THEN NULL
                 WHEN webhook_secret IS NULL THEN 'no_secret' ELSE 'unsigned' END AS signature_status,
            CASE WHEN order_id%5=0 THEN NULL WHEN order_id%5=1 THEN 'Invalid user_id format: nobody'
@@ -439,16 +553,16 @@ def accept_events(spark, sf_dir):
 
 
 @query(_EVENTS_APPLIED + """
-    , done AS (SELECT event_id, count(*) FILTER (q0 IS NOT NULL) AS items_processed,
+    , done AS (SELECT order_id, user_id, count(*) FILTER (q0 IS NOT NULL) AS items_processed,
                       count(*) FILTER (q0 IS NULL) AS failed, CAST(coalesce(sum(q),0) AS BIGINT) AS quantity_after
-               FROM l2 GROUP BY event_id)
+               FROM l2 GROUP BY order_id, user_id)
     , e AS (SELECT DISTINCT order_id, user_id, action, cause FROM routed)
-    SELECT CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS webhook_id, order_id,
+    SELECT """ + _ID.replace("user_id", "e.user_id").replace("order_id", "e.order_id") + """ AS webhook_id, e.order_id,
            CASE WHEN e.action='ignored' THEN 'ignored' ELSE 'processed' END AS status,
            CASE WHEN e.action='restore' THEN 'restore_quantities' END AS action,
            CASE WHEN e.action<>'ignored' THEN coalesce(items_processed,0) END AS items_processed,
            coalesce(failed,0) AS failed, coalesce(quantity_after,0) AS quantity_after
-    FROM e LEFT JOIN done ON event_id=CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR)""")
+    FROM e LEFT JOIN done ON done.order_id=e.order_id AND done.user_id=e.user_id""")
 def order_flow(spark, sf_dir):
     """The whole way of an event in batch: feed, seller, route, lines, ledger, answer."""
     feed = cut(ev.dedupe_events(rd.read_order_events(spark, _event_files(spark, sf_dir, retries=True), stream=False)),

@@ -135,9 +135,11 @@ def unknown_deltas(spark, sf_dir):
     return lg.unknown_deltas(fx.inventory(spark, sf_dir), deltas(spark, sf_dir))
 
 
-_EVENTS_APPLIED = with_views("lines inventory", _ROUTE + """
+def events_applied(event_id, ts="ts"):
+    """SQL of the lines of all acting events in order, with the item's stock after each."""
+    return with_views("lines inventory", _ROUTE + f"""
     , l0 AS (SELECT user_id, product_id, CAST(CASE WHEN action='sell' THEN -quantity ELSE quantity END AS BIGINT) AS d,
-            action, ts, CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR) AS event_id,
+            action, {ts} AS ts, order_id, {event_id} AS event_id,
             row_number() OVER (PARTITION BY order_id, user_id ORDER BY ln, product_id, quantity)-1 AS ln, quantity
             FROM routed WHERE action<>'ignored')
     , l1 AS (SELECT l0.*, i.quantity AS q0, sum(d) OVER (PARTITION BY l0.user_id, product_id
@@ -148,14 +150,22 @@ _EVENTS_APPLIED = with_views("lines inventory", _ROUTE + """
             ORDER BY ts, event_id, ln, quantity ROWS UNBOUNDED PRECEDING)) AS q FROM l1)""")
 
 
-@query(_EVENTS_APPLIED + """
+_ORDER_AND_SELLER = "CAST(order_id AS VARCHAR)||'-'||CAST(user_id AS VARCHAR)"
+
+
+# Events without an id, and ids that all sellers of an order share.
+@query(events_applied(f"""CASE WHEN order_id%11=0 THEN 'unknown '||{_ORDER_AND_SELLER}
+                          WHEN order_id%13=0 THEN CAST(order_id AS VARCHAR) ELSE {_ORDER_AND_SELLER} END""") + """
     SELECT event_id, user_id, action, count(*) FILTER (q0 IS NOT NULL) AS items_processed,
            count(*) FILTER (q0 IS NULL) AS failed, CAST(coalesce(sum(q),0) AS BIGINT) AS quantity_after,
            'processed' AS status
     FROM l2 GROUP BY event_id, user_id, action""")
 def event_results(spark, sf_dir):
     # The nested events are derived once, as a feed would bring them.
-    events = cut(fx.order_events(spark, sf_dir), "events")
+    order = F.col("data.id")
+    key = (F.when(order % 11 == 0, F.concat(F.lit("unknown "), "id")).when(order % 13 == 0, order.cast("string"))
+           .otherwise(F.col("id")))
+    events = cut(fx.order_events(spark, sf_dir).withColumn("event_key", key), "events")
     lines = ev.valid_order_lines(ev.explode_lines(ev.route_events(events)))
     applied = lg.stock_ledger(ev.line_deltas(lines), fx.inventory(spark, sf_dir), ev.LINE_ORDER)
     total = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i.new_quantity)

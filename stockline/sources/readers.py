@@ -69,14 +69,23 @@ def read_order_events(spark: SparkSession, path: str, stream: bool = True,
     ``body`` stays as received, since its signature covers every byte; its fields are parsed next to
     it. ``user_id`` is the seller the event was sent to, or null if only the event names one. The
     feed has no event time, so the time of receipt orders it.
+
+    ``event_key`` tells events apart: it is the event's id, and for events without one (shown as ``unknown``) their
+    place in the feed, that is file, block of the file and row. A stream can't number rows, so there a drawn name stands
+    for the row; it is drawn anew if a trigger is run again, and so is all that the trigger writes.
     """
     source = spark.readStream if stream else spark.read
     if stream and max_files_per_trigger:
         source = source.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = source.schema(schemas.EVENT_ENVELOPE).json(path)
     event = F.from_json("body", schemas.ORDER_EVENT)
-    return raw.withColumn("_event", event).select(
-        F.col("received_at").alias("ts"), "user_id", "signature", "body",
+    row = F.uuid() if stream else F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    nameless = F.concat_ws(" ", F.lit("unknown"), F.col("_metadata.file_path"),
+                           F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), row)
+    # Selected first, so that the number of a row does not depend on what is read of it later.
+    numbered = raw.select("received_at", "user_id", "signature", "body", event.alias("_event"), nameless.alias("_place"))
+    return numbered.select(
+        F.coalesce("_event.id", "_place").alias("event_key"), F.col("received_at").alias("ts"), "user_id", "signature", "body",
         F.coalesce("_event.id", F.lit("unknown")).alias("id"), F.coalesce("_event.cause", F.lit("")).alias("cause"),
         F.coalesce("_event.mode", F.lit("live")).alias("mode"), F.col("_event.data").alias("data"))
 

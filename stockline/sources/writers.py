@@ -1,99 +1,21 @@
-"""Writers: inventory snapshots and outbound change records."""
+"""Writers: outbound change records and old tables brought to a new schema. Inventory versions are written by
+``snapshots``, whose functions stand here, too."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline import schemas
 from stockline.operators.scan import number_slice, numbered
+from stockline.sources.snapshots import VersionTaken, current_version, last_id, read_snapshot, write_inventory
 
 BATCH_SIZE = 100
 PRICE = "price_cents"
-_RECORD = "version long, owner string, folder string, last_id long"
 
-
-class VersionTaken(RuntimeError):
-    """Another job has written this version; run again from the newest snapshot."""
-
-
-def write_inventory(inventory: DataFrame, path: str, version: int, owner: str = "") -> None:
-    """Write a full snapshot in the stored schema, then name it in the version list.
-
-    Readers see the new snapshot only when it is complete. Each owner writes to a folder of its own
-    and the first to name a version has it: an owner that repeats its call overwrites its own data,
-    any other owner gets ``VersionTaken`` and changes nothing. The version's record also keeps the
-    highest item id ever given, so that ids of deleted items are not given again.
-    """
-    spark = inventory.sparkSession
-    if _owner(spark, path, version) not in (None, owner):
-        raise VersionTaken(f"{path}: version {version}")
-    stored = spark.createDataFrame([], schemas.INVENTORY).schema
-    rows = inventory.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.fields])
-    folder = f"snapshot={version}" + (f"-{owner}" if owner else "")
-    rows.write.mode("overwrite").parquet(f"{path}/{folder}")
-    largest = spark.read.schema("id long").parquet(f"{path}/{folder}").agg(F.max("id")).first()[0]
-    record = {"version": version, "owner": owner, "folder": folder, "last_id": max(largest or 0, last_id(spark, path))}
-    if not _create(spark, f"{path}/versions/{version}.json", json.dumps(record)) \
-            and _owner(spark, path, version) != owner:
-        raise VersionTaken(f"{path}: version {version}")
-
-
-def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small file unless it is there already, which the file system decides."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        out = files.create(target, False)
-    except Py4JJavaError:
-        if files.exists(target):
-            return False
-        raise
-    out.write(bytearray(text, "utf-8"))
-    out.close()
-    return True
-
-
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_RECORD).json(f"{path}/versions").where(F.col("version").isNotNull())
-
-
-def _has_records(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _owner(spark: SparkSession, path: str, version: int) -> str | None:
-    row = _record(spark, path, version) if _has_records(spark, path) else None
-    return row.owner if row else None
-
-
-def _record(spark: SparkSession, path: str, version: int) -> Row | None:
-    return _records(spark, path).where(F.col("version") == version).first()
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    """Number of the newest complete snapshot."""
-    return _records(spark, path).agg(F.max("version")).first()[0]
-
-
-def last_id(spark: SparkSession, path: str) -> int:
-    """The highest item id that any snapshot has held."""
-    if not _has_records(spark, path):
-        return 0
-    return _records(spark, path).agg(F.max("last_id")).first()[0] or 0
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
-    version = current_version(spark, path) if version is None else version
-    found = _record(spark, path, version)
-    if found is None:
-        raise ValueError(f"{path}: no version {version}")
-    return spark.read.schema(schema).parquet(f"{path}/{found.folder}")
+__all__ = ["VersionTaken", "batch_outbox", "create_outbox", "current_version", "delete_outbox", "evolve_schema",
+           "increment_outbox", "last_id", "read_snapshot", "update_outbox", "write_inventory", "write_outbox"]
 
 
 def write_outbox(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

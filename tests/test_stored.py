@@ -11,7 +11,7 @@ from stockline.operators import edits, ledger, purchases
 from stockline.operators.products import chunk_index, last_write
 from stockline.plans import jobs
 from stockline.plans.order_flow import accept_events
-from stockline.sources import readers, writers
+from stockline.sources import readers, snapshots, writers
 from stockline.streaming import sinks, stock
 
 USER = "db24fb13-ec73-49b8-932c-f0043dd47e86"
@@ -39,10 +39,13 @@ def test_ids_are_not_given_again(spark, tmp_path):
     writers.write_inventory(_inventory(spark, (1, "u", 5, None, "1"), (2, "u", 5, None, "2")), path, 1)
     wanted = spark.createDataFrame([("u", 2)], "user_id string, item_id long")
     jobs.run_deletes(spark, wanted, path, str(tmp_path / "outbox"))
-    inventory, version = jobs._load(spark, path)
-    jobs._store(inventory.unionByName(_inventory(spark, (None, "u", 1, None, "3"))), path, version)
+    base = snapshots.snapshot(spark, path)
+    first = snapshots.take_ids(spark, path, 1)
+    rows = writers.read_snapshot(spark, path, schemas.INVENTORY).unionByName(_inventory(spark, (first, "u", 1, None, "3")))
+    snapshots.replace_buckets(rows, path, base, list(base.folders))
     rows = writers.read_snapshot(spark, path, schemas.INVENTORY).collect()
     assert {r.external_stock_id: r.id for r in rows} == {"1": 1, "3": 3}
+    assert [snapshots.take_ids(spark, path, n) for n in (5, 1)] == [4, 9]
 
 
 def test_export_rows_follow_files_by_name(spark, tmp_path):
