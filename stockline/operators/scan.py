@@ -28,6 +28,8 @@ from stockline.session import cut
 SLICE = "_slice"
 #: Rows of a key that may share a slice, and splitters that are compared at once.
 SLICE_ROWS, SPLITTERS = 1_000_000, 32
+#: Counters by which crowded slices are looked for first.
+COUNTERS = 16384
 
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -63,20 +65,25 @@ def place(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
     """``rows`` with the slice each belongs to: ``slice_by``, and a part of it where a key has more than ``most``
     rows (default ``SLICE_ROWS``) there. Rows that have been placed stay where they are.
 
-    Crowded slices are found by a count, which runs at once. Only their rows are then dealt out by Spark's range
-    partitioning over the whole order, whose sampled bounds split any group evenly; the first row of each share is a
-    splitter, and the splitters are written once, so that every later reading cuts at the same places. Rows that are
-    alike in the whole ``order`` stay together.
+    Crowded slices are found by counts, which run at once: first by some thousand hash values of (key, slice), and only
+    where one of these is too large by key and slice. Their rows are then dealt out by Spark's range partitioning over the
+    whole order, whose sampled bounds split any group evenly; the first row of each share is a splitter, and the splitters
+    are written once, so that every later reading cuts at the same places. Rows that are alike in the whole ``order``
+    stay together. An expensive input should be written first.
     """
     if SLICE in rows.columns:
         return rows
     most = SLICE_ROWS if most is None else most
     coarse = rows.withColumn("_coarse", slice_by)
     group = [*keys, "_coarse"]
-    crowded = (coarse.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
-    total = crowded.agg(F.sum("_n")).first()[0]
+    spread = F.pmod(F.xxhash64(*group), F.lit(COUNTERS))
+    full = coarse.groupBy(spread.alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    suspects = [row[0] for row in full.select("_h").collect()]  # at most COUNTERS numbers
+    crowded = (coarse.where(spread.isin(suspects)).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > most))
+    total = crowded.agg(F.sum("_n")).first()[0] if suspects else None
     if not total:
-        return coarse.withColumn(SLICE, F.struct(F.col("_coarse").alias("coarse"), F.lit(0).alias("part"))).drop("_coarse")
+        return coarse.withColumnRenamed("_coarse", SLICE)
     at = F.struct(*order)
     shares = (_same(coarse.select(*group, at.alias("_at")), crowded.drop("_n"), group, "left_semi")
               .repartitionByRange(max(2, -(-2 * total // most)), *group, "_at")

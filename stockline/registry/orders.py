@@ -26,8 +26,9 @@ def deltas(spark, sf_dir):
     lines = fx.lines(spark, sf_dir)
     action = ev.route(F.col("cause"), F.col("state"), F.lit(None).cast("string"))
     routed = lines.withColumn("action", action).where(F.col("action") != "ignored")
-    return ev.line_deltas(ev.valid_order_lines(routed)).select(
-        "user_id", "external_stock_id", "delta", "ts", "order_id", "ln")
+    # Derived once: the ledger reads its changes several times.
+    return cut(ev.line_deltas(ev.valid_order_lines(routed)).select(
+        "user_id", "external_stock_id", "delta", "ts", "order_id", "ln"), "deltas")
 
 
 _ROUTE = """

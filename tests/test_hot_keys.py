@@ -50,7 +50,7 @@ def test_running_totals_over_cut_hours(spark):
 
 def test_without_crowds_nothing_is_cut(spark):
     placed = place(crowded(spark, 300), ["k"], ["ts", "id"], time_slice(F.col("ts")))
-    assert [r[0] for r in placed.select(f"{SLICE}.part").distinct().collect()] == [0]
+    assert placed.where(F.col(SLICE) != time_slice(F.col("ts"))).count() == 0
     assert place(placed, ["k"], ["ts", "id"], time_slice(F.col("ts"))) is placed
 
 
