@@ -52,6 +52,18 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return cut(frame, f"llm-{label}")
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of a table has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fold_column(text) -> F.Column:
     """Text with A-Z lower-cased, null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

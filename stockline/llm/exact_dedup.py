@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockline.llm.common import RangeHash, blocks, fold_bytes, stored, utf8
+from stockline.llm.common import blocks, fold_bytes, free_names, RangeHash, stored, utf8
 
 #: Bytes the rolling hash sees, and the least, usual and most bytes of a chunk.
 WINDOW, LEAST, USUAL_BITS, MOST = 16, 256, 10, 8192
@@ -138,14 +138,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_of_equal(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called."""
+    kept_id, kept_sha, sha, turn = free_names(docs, "_kept_id", "_kept_sha", "_sha", "_turn")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     folded = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), *_FOLD).cast("binary"), 256)
-    same = F.col("_sha").eqNullSafe(F.col("_kept_sha")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id"))
-    again = Window.partitionBy("_kept_id", "_kept_sha").orderBy("_kept_id")
-    return (docs.withColumn("_sha", folded).join(kept, same).withColumn("_turn", F.row_number().over(again))
-            .where("_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    same = F.col(sha).eqNullSafe(F.col(kept_sha)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(kept_id))
+    again = Window.partitionBy(kept_id, kept_sha).orderBy(kept_id)
+    return (docs.withColumn(sha, folded).join(kept, same).withColumn(turn, F.row_number().over(again))
+            .where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 _FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 
 from stockline.llm import exact_dedup, imatch, ngram_join
+from stockline.llm.common import BLOCK_BYTES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FOLD = {k: k + 32 for k in range(65, 91)}
@@ -181,6 +182,36 @@ def test_kept_rows_keep_their_columns(spark):
     assert kept.count() == len({r[3] for r in brute_groups(copies())})
 
 
+HELPERS = ("_kept_id _kept_sha _sha _turn _cls _id _key recipe variants row cls class_id component keep n group_size "
+           "text_sha256 n_bytes best wanted tokens entry").split()
+
+
+@pytest.mark.parametrize("change", [str, str.upper, lambda n: n + "_"])
+def test_stages_leave_columns_of_any_name_alone(spark, change):
+    names = [change(n) for n in HELPERS]
+    rows = near_copies(3)[:40] + copies()
+    docs = spark.createDataFrame([(i, t, *[f"{k} {n}" for n in names]) for k, (i, t) in enumerate(rows)],
+                                 "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    held = {tuple(r) for r in docs.collect()}
+    for stage, plain in ((exact_dedup.keep_first_of_equal, exact_dedup.keep_first_of_equal(table(spark, rows))),
+                         (ngram_join.keep_one_per_component, ngram_join.keep_one_per_component(table(spark, rows)))):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert {tuple(r) for r in found} <= held
+        assert sorted((str(r.doc_id), r.text or "") for r in found) == sorted((str(r.doc_id), r.text or "") for r in plain.collect())
+
+
+def test_texts_of_several_blocks(spark):
+    """A text longer than a block of bytes, its copy, and a near copy."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    assert len(long) > BLOCK_BYTES
+    docs = table(spark, [(1, long), (2, long.upper()), (3, long + " tail"), (4, "w1 w2 w3 w4 w5")])
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.shingle_components(docs).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(docs).collect()) == [(1, 2), (2, 2), (3, 3), (4, 4)]
+
+
 def brute_imatch(rows):
     rows = sorted(rows)
     words = [sorted({w for w in text.translate(FOLD).split(" ") if w}) for _, text in rows]
@@ -194,15 +225,20 @@ def brute_imatch(rows):
         terms = sorted({w for w in text.translate(FOLD).split(" ") if w})
         held = [t for t in terms if t in lexicon]
         used = held if len(held) >= imatch.LEAST_TERMS else terms
-        digest = {t: hashlib.md5(t.encode()).hexdigest() for t in used}
-        return [hashlib.md5(" ".join(t for t in used if digest[t][k] >= "c").encode()).hexdigest()[:12] for k in range(12)]
+        subset = {t: int(hashlib.md5(t.encode()).hexdigest()[0], 16) + 16 * (int(hashlib.md5(t.encode()).hexdigest()[1], 16) % 3)
+                  for t in used}
+        chosen = [[t for t in used if subset[t] == k] for k in range(48)]
+        return [hashlib.md5(" ".join(c).encode()).hexdigest()[:8] if c else "" for c in chosen]
 
     found = []
     for k, (i, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
         one, two, three = parts(text), parts(edited), parts(after)
-        share = [sum(a == b for a, b in zip(one, x, strict=True)) / 12 for x in (two, three)]
+        share = []
+        for x in (two, three):
+            either = [(a, b) for a, b in zip(one, x, strict=True) if a or b]
+            share.append(sum(a == b for a, b in either) / len(either) if either else 1.0)
         found.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "-".join(one), "-".join(two), *share))
     return found
 
