@@ -86,7 +86,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
                     most: int = SAMPLE) -> DataFrame:
     """Texts and labels of at most ``most`` labelled rows per class outside the held-out rows.
 
-    The chosen ids are at most twice ``most``, which bounds the broadcast.
+    The chosen ids are at most twice ``most``, which bounds the broadcast; of an id that stands on several rows one text
+    is taken, which bounds what is learned from, too.
     """
     rows = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id", divisor) != held))
@@ -94,7 +95,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     chosen = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.join(F.broadcast(ids), "doc_id")
+    found = named.join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(
+        "doc_id", "text", "label")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
