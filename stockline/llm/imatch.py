@@ -4,9 +4,14 @@ Terms are the white-space separated words of a text with A-Z lower-cased. The le
 of all documents lies in a band (of inverse document frequency, that is); as every document adds to at most as
 many terms as it has, the lexicon holds no more than (mean distinct terms / least share) terms, whatever the
 number of documents. A fingerprint has ``SUBSETS`` parts: each part is a hash of the sorted distinct terms of
-the text that are in the lexicon and in that part's randomised subset of it (a term's subsets follow from the
-digits of its hash). A text with fewer than ``LEAST_TERMS`` such terms takes all its terms as lexicon terms, so
-short texts do not all look alike. The likeness of two fingerprints is the share of equal parts.
+the text that are in the lexicon and in that part's randomised subset of it (a term's subset follows from two
+digits of its hash, so a subset is about one in 48 of the lexicon, and an edit leaves most parts alone). A text with
+fewer than ``LEAST_TERMS`` such terms takes all its terms as lexicon terms, so short texts do not all look alike. A part
+without terms is empty. The likeness of two fingerprints is the share of equal parts among those that either has; two
+fingerprints without any part are alike (1).
+
+The lexicon is dealt to small lists by the hash of the term, and each term of a text looks into one of them, so
+no document walks through the lexicon.
 
 Each document is also compared with its edited text, whose second half is replaced by the beginning of the next
 document in id order. The next id is found by ranges of ids, so no task orders all documents.
@@ -24,8 +29,11 @@ from pyspark.sql.window import Window
 
 from stockline.llm.common import fold_column, stored
 
-#: Parts of a fingerprint; a term is in a part if the part's hexadecimal digit of its hash is at least ``LEAST_DIGIT``.
-SUBSETS, LEAST_DIGIT = 12, "c"
+#: Parts of a fingerprint: 16 by the first hexadecimal digit of a term's hash, times 3 by the second.
+DIGITS, THIRDS = "0123456789abcdef", 3
+SUBSETS = len(DIGITS) * THIRDS
+#: Hexadecimal digits of a part; terms of the lexicon in one list, about.
+PART_DIGITS, LIST_TERMS = 8, 4
 #: The band: least and greatest share of the documents that hold a term, and the least documents.
 LEAST_SHARE, GREATEST_SHARE, LEAST_DOCS = 0.01, 0.1, 2
 LEAST_TERMS = 8
@@ -42,7 +50,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
     """The terms in the band, each once."""
     total = docs.agg(F.count("*").alias("total"))
     held = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return held.join(F.broadcast(total), (F.col("n") >= F.greatest(F.lit(LEAST_DOCS), LEAST_SHARE * F.col("total")))
+    return held.join(total, (F.col("n") >= F.greatest(F.lit(LEAST_DOCS), LEAST_SHARE * F.col("total")))
                      & (F.col("n") <= GREATEST_SHARE * F.col("total"))).select("term")
 
 
@@ -52,40 +60,59 @@ def linked(ids: DataFrame) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), "key"]
     dealt = stored(ids.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("range").orderBy(*order)
-    # The table of ranges has one small row per range, however many documents there are.
+    # One small row per range of documents, shifted by one; the first range follows the last.
+    every = Window.orderBy("range")
     firsts = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("first"))
-    ring = firsts.agg(F.array_sort(F.collect_list(F.struct("range", "first"))).alias("ring"))
-    after = ring.select(F.explode(F.transform("ring", lambda here, at: F.struct(
-        here["range"].alias("range"), F.get("ring", (at + 1) % F.size("ring"))["first"].alias("first")))).alias("row"))
-    after = after.select("row.range", "row.first")
+    after = firsts.select("range", F.coalesce(F.lead("first").over(every), F.first("first").over(every)).alias("first"))
     dealt = dealt.withColumn("next", F.lead("key").over(inside))
-    return dealt.join(F.broadcast(after), "range").select(
-        "key", "doc_id", "n_chars", "copies", F.coalesce("next", "first").alias("next"))
+    return dealt.join(after, "range").select("key", "doc_id", "n_chars", "copies", F.coalesce("next", "first").alias("next"))
+
+
+def subset(term) -> F.Column:
+    """The subset of the lexicon that a term is in."""
+    first, second = (F.position(F.substring(F.md5(term.cast("binary")), k, 1), F.lit(DIGITS)) - 1 for k in (1, 2))
+    return first + len(DIGITS) * (second % THIRDS)
+
+
+def parts(used) -> F.Column:
+    """The parts of a fingerprint from sorted terms with their subsets (structs of ``term`` and ``subset``)."""
+    def part(k) -> F.Column:
+        chosen = F.transform(F.filter(used, lambda t: t["subset"] == k), lambda t: t["term"])
+        return F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(chosen, " ").cast("binary")), 1, PART_DIGITS)
+                      ).otherwise("")
 
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part)
 
-def parts(found) -> F.Column:
-    """The parts of a fingerprint from sorted lexicon terms and their hashes (structs of ``term`` and ``digits``)."""
-    def part(k: int) -> F.Column:
-        chosen = F.filter(found, lambda t: F.substring(t["digits"], k + 1, 1) >= LEAST_DIGIT)
-        return F.substring(F.md5(F.array_join(F.transform(chosen, lambda t: t["term"]), " ").cast("binary")), 1, 12)
 
-    return F.array(*[part(k) for k in range(SUBSETS)])
+def listed(words: DataFrame) -> DataFrame:
+    """The lexicon as one row: an array of short lists, a term's list given by its hash. As large as the lexicon, which
+    is bounded by the mean number of terms of a document."""
+    lists = max(1, words.count() // LIST_TERMS)
+    place = F.pmod(F.xxhash64("term"), F.lit(lists)).cast("int")
+    dealt = words.groupBy(place.alias("place")).agg(F.collect_list("term").alias("list"))
+    entries = F.map_from_entries(F.collect_list(F.struct("place", "list")))
+    return dealt.agg(entries.alias("known")).select(
+        F.transform(F.sequence(F.lit(0), F.lit(lists - 1)),
+                    lambda k: F.coalesce(F.element_at("known", k), F.array().cast("array<string>"))).alias("lists"),
+        F.lit(lists).alias("n_lists"))
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns ``keys`` of each row and the parts of its text's fingerprint."""
-    listed = words.agg(F.array_sort(F.collect_list("term")).alias("lexicon"))
-    found = texts.select(*keys, terms(F.col("text")).alias("terms")).join(F.broadcast(listed))
-    # The intersection keeps the order of the lexicon, which is sorted.
-    found = found.select(*keys, "terms", F.array_intersect("lexicon", "terms").alias("held"))
-    used = F.when(F.size("held") < LEAST_TERMS, F.array_sort("terms")).otherwise(F.col("held"))
-    digits = F.transform(used, lambda t: F.struct(t.alias("term"), F.md5(t.cast("binary")).alias("digits")))
-    return found.select(*keys, digits.alias("used")).select(*keys, parts(F.col("used")).alias("parts"))
+    """The columns ``keys`` of each row and the parts of its text's fingerprint. ``words`` is ``listed``."""
+    found = texts.select(*keys, terms(F.col("text")).alias("terms")).join(words)
+    known = F.filter("terms", lambda t: F.array_contains(F.get("lists", F.pmod(F.xxhash64(t), F.col("n_lists")).cast("int")), t))
+    found = found.select(*keys, "terms", known.alias("held"))
+    used = F.array_sort(F.when(F.size("held") < LEAST_TERMS, F.col("terms")).otherwise(F.col("held")))
+    placed = F.transform(used, lambda t: F.struct(t.alias("term"), subset(t).alias("subset")))
+    return found.select(*keys, placed.alias("used")).select(*keys, parts(F.col("used")).alias("parts"))
 
 
 def likeness(one, other) -> F.Column:
-    same = F.aggregate(F.zip_with(one, other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return same / F.lit(float(SUBSETS))
+    """Equal parts among those that either fingerprint has."""
+    pairs = F.filter(F.zip_with(one, other, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                     lambda p: (p["a"] != "") | (p["b"] != ""))
+    same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
+    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(same / F.size(pairs))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -94,7 +121,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text)
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
                         F.md5(name.cast("binary")).alias("key"))
-    words = stored(lexicon(named), "lexicon")
+    words = stored(listed(stored(lexicon(named), "lexicon")), "lists")
     ids = named.groupBy("key", "doc_id", F.char_length("text").cast("bigint").alias("n_chars")).agg(
         F.count("*").alias("copies"))
     links = stored(linked(ids), "links")

@@ -122,16 +122,26 @@ held AS (
   SELECT doc_id, version, text, terms, list_sort(list_intersect(terms, coalesce(words, []))) AS held FROM worded, lexicon),
 used AS (
   SELECT doc_id, version, text, list_transform(CASE WHEN len(held) < 8 THEN list_sort(terms) ELSE held END,
-    lambda t: {'t': t, 'd': md5(t)}) AS used FROM held),
+    lambda t: {'t': t, 'k': instr('0123456789abcdef', substr(md5(t), 1, 1)) - 1
+      + 16 * ((instr('0123456789abcdef', substr(md5(t), 2, 1)) - 1) % 3)}) AS used FROM held),
 printed AS (
-  SELECT doc_id, version, sha256(text) AS sha, list_transform(range(1, 13), lambda k: substr(md5(array_to_string(
-    list_transform(list_filter(used, lambda x: substr(x.d, k, 1) >= 'c'), lambda x: x.t), ' ')), 1, 12)) AS parts FROM used)
-SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_chars, e.sha AS edited_sha256, array_to_string(p.parts, '-') AS fingerprint,
-  array_to_string(e.parts, '-') AS edited_fingerprint,
-  list_sum(list_transform(range(1, 13), lambda k: CAST(p.parts[k] = e.parts[k] AS INT))) / 12.0 AS near_edited,
-  list_sum(list_transform(range(1, 13), lambda k: CAST(p.parts[k] = x.parts[k] AS INT))) / 12.0 AS near_next
-FROM following f JOIN printed p ON p.doc_id = f.doc_id AND p.version = 0 JOIN printed e ON e.doc_id = f.doc_id
-  AND e.version = 1 JOIN printed x ON x.doc_id = f.next_id AND x.version = 0
+  SELECT doc_id, version, sha256(text) AS sha, list_transform(range(48), lambda k: CASE WHEN len(list_filter(used,
+    lambda x: x.k = k)) = 0 THEN '' ELSE substr(md5(array_to_string(list_transform(list_filter(used, lambda x: x.k = k),
+    lambda x: x.t), ' ')), 1, 8) END) AS parts FROM used),
+joined AS (
+  SELECT f.doc_id, f.n, e.sha, p.parts AS p, e.parts AS e, x.parts AS x
+  FROM following f JOIN printed p ON p.doc_id = f.doc_id AND p.version = 0 JOIN printed e ON e.doc_id = f.doc_id
+    AND e.version = 1 JOIN printed x ON x.doc_id = f.next_id AND x.version = 0),
+counted AS (
+  SELECT *, len(list_filter(range(1, 49), lambda k: p[k] <> '' OR e[k] <> '')) AS of_edited,
+    len(list_filter(range(1, 49), lambda k: p[k] <> '' OR x[k] <> '')) AS of_next,
+    len(list_filter(range(1, 49), lambda k: p[k] <> '' AND p[k] = e[k])) AS as_edited,
+    len(list_filter(range(1, 49), lambda k: p[k] <> '' AND p[k] = x[k])) AS as_next FROM joined)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha AS edited_sha256, array_to_string(p, '-') AS fingerprint,
+  array_to_string(e, '-') AS edited_fingerprint,
+  CASE WHEN of_edited = 0 THEN 1.0::DOUBLE ELSE CAST(as_edited AS DOUBLE) / of_edited END AS near_edited,
+  CASE WHEN of_next = 0 THEN 1.0::DOUBLE ELSE CAST(as_next AS DOUBLE) / of_next END AS near_next
+FROM counted
 """
 
 OP6_SQL = """
