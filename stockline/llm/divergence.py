@@ -41,7 +41,7 @@ LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 #: Distinct postings that a task keeps before it lets a run go; kept postings of a shard; pairs of sources in memory.
 RUN_POSTINGS, SHARD_POSTINGS, PAIRS_HELD = 600_000, 400_000, 1 << 21
 #: Rows that travel between Spark and a task's Python at once, and postings whose corrections are worked out at once.
-ARROW_ROWS, ROWS_AT_ONCE = 8192, 50_000
+ARROW_ROWS, ROWS_AT_ONCE = 4096, 50_000
 #: Letters are A-Z, a-z and everything beyond ASCII.
 LETTERS = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
