@@ -1,8 +1,11 @@
 """Classifiers by held-out accuracy, language profiles by brute force, quotations by hand, and the pipeline."""
 
 import os
+import random
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -48,7 +51,68 @@ def test_toxicity_tolerates_gaps_and_inserted_characters(spark):
                  "you w o r t h l e s s thing"):
         assert model.margin(text) > clean, text
     assert letter_stream("i d i o t").tolist() == letter_stream("idiot").tolist()
-    assert toxicity.window_sums(toxicity.position_weights(letter_stream("abc"), model.table)).sum() == 0
+    assert model.margin("αβγδ 123 漢字") == 0
+
+
+def sentences(alphabet, insults, rng, spaced=True):
+    """Labelled texts in some alphabet: invented words, and in every second one an insult."""
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    rows = []
+    for k in range(900):
+        text = [rng.choice(words) for _ in range(rng.randrange(8, 40))]
+        if k % 3 == 0:
+            text.insert(rng.randrange(len(text)), rng.choice(insults))
+        rows.append((k, (" " if spaced else "").join(text) + ".", int(k % 3 == 0)))
+    return rows
+
+
+@pytest.mark.parametrize("name, alphabet, insults", [
+    ("Cyrillic", "абвгдежзийклмнопрстуфхцчшщъыьэюя", ["придурок", "сволочь", "мразь", "гад"]),
+    ("Greek", "αβγδεζηθικλμνξοπρστυφχψω", ["ηλίθιος", "βλάκας", "ζώο", "σκουπίδι"]),
+    ("Chinese", "的一是不了人我在有他这中大来上个国和也子时道说出得会自着", ["白痴", "傻瓜", "混蛋", "废物"]),
+    ("Latin", "abcdefghijklmnoprstuvwz", ["idiot", "scum", "ass", "dümmling"])])
+def test_toxicity_in_every_script(spark, name, alphabet, insults):
+    rows = sentences(alphabet, insults, random.Random(5), name != "Chinese")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    found = score_toxicity(docs, fit_toxicity(docs, labels), 0.7).join(labels, "doc_id").where("held_out").collect()
+    caught = [r.predicted for r in found if r.toxic]
+    alone = [1 - r.predicted for r in found if not r.toxic]
+    assert len(caught) > 50 and len(alone) > 100
+    assert sum(caught) >= 0.95 * len(caught) and sum(alone) >= 0.95 * len(alone)
+
+
+def plain_features(word, edges):
+    """Subsequences of four symbols over at most six places, by trying all places."""
+    symbols, found = (" " + word + "      " if edges else word), Counter()
+    for chosen in combinations(range(len(symbols)), 4):
+        letters = [symbols[k] for k in chosen]
+        if chosen[3] - chosen[0] < 6 and " " not in letters[1:3] and (edges or " " not in letters):
+            found["".join(letters)] += 0.6 ** (chosen[3] - chosen[0] - 3)
+    return found
+
+
+def test_kernel_and_landmarks_match_the_plain_kernel():
+    words = ["worthless", "idiotic", "scum", "ass ", "it ", "xyzzy"]
+    landmarks = toxicity.Landmarks(words)
+    plain = [plain_features(w.strip(), len(w.strip()) < 4) for w in words]
+    norms = [sum(v * v for v in f.values()) ** 0.5 for f in plain]
+
+    def kernel(f, g):
+        return sum(v * g.get(k, 0.0) for k, v in f.items())
+
+    gram = [[kernel(f, g) / (n * m) for g, m in zip(plain, norms, strict=True)] for f, n in zip(plain, norms, strict=True)]
+    assert np.allclose(landmarks.rows.T @ landmarks.rows, gram)
+    assert np.allclose(landmarks.whiten @ landmarks.whiten @ np.array(gram), np.eye(len(words)), atol=1e-6)
+    for text in ("you worthhless scum", "an ass it is", "xyz zy", "wo rthless"):
+        whole = plain_features(text, True)
+        by_kernel = np.array([kernel(whole, f) / n for f, n in zip(plain, norms, strict=True)])
+        stream = letter_stream(text)
+        assert np.allclose(landmarks.map(landmarks.sums(stream)), by_kernel @ landmarks.whiten)
+        model = toxicity.ToxicityModel(0.5)
+        weights = np.random.default_rng(1).normal(size=len(words))
+        model.learned(landmarks.alphabet, landmarks.numbers, landmarks.fold(weights))
+        assert np.isclose(model.position_weights(stream).sum(), by_kernel @ landmarks.whiten @ weights, atol=1e-4)
 
 
 def brute_grams(text):
