@@ -14,14 +14,21 @@ PROGRESS_FIELDS = ["progress_percent", "total_chunks", "processed_chunks", "tota
 
 
 def start_guard(requests: DataFrame, settings: DataFrame) -> DataFrame:
-    """Who may start a synchronisation (``requests``: user_id, force), else the reason."""
+    """Who may start a synchronisation (``requests``: user_id, force), else the reason. Of several requests of a seller
+    with an operation_id that may start, the one with the least starts, and the others find it in progress."""
     joined = requests.join(
         settings.select("user_id", "has_token", "sync_status", F.lit(True).alias("_known")), "user_id", "left")
     reason = (F.when(F.col("_known").isNull(), "settings not found")
               .when(~F.coalesce("has_token", F.lit(False)), "no token")
               .when(~F.coalesce("force", F.lit(False)) & F.col("sync_status").isin(BUSY),
                     F.concat(F.lit("sync in progress: "), F.col("sync_status"))))
-    return joined.select(*requests.columns, reason.isNull().alias("allowed"), reason.alias("reason"))
+    judged = joined.withColumn("reason", reason).select(*requests.columns, "reason")
+    if "operation_id" in requests.columns:
+        first = judged.where(F.col("reason").isNull()).groupBy("user_id").agg(F.min("operation_id").alias("_first"))
+        second = F.col("reason").isNull() & (F.col("operation_id") != F.col("_first"))
+        judged = judged.join(first, "user_id", "left").withColumn(
+            "reason", F.when(second, f"sync in progress: {BUSY[0]}").otherwise(F.col("reason")))
+    return judged.select(*requests.columns, F.col("reason").isNull().alias("allowed"), "reason")
 
 
 def started_operations(operations: DataFrame, allowed: DataFrame, op_type: str = "bulk_sync",

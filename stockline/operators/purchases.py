@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockline.operators.scan import Running, numbered, running, time_slice
+from stockline.operators.scan import SLICE, Running, numbered, place, running, time_slice
 from stockline.session import cut
 
 # Reasons for which a request is refused.
@@ -56,10 +56,10 @@ def check_availability(ids: DataFrame, export: DataFrame) -> DataFrame:
 def _round(rows: DataFrame, stock: Column, label: str) -> tuple[DataFrame, DataFrame]:
     """(rows with ``served`` and ``reached``, units sold per item).
 
-    ``rows`` has item_id, quantity and the order columns. Everything that is ``reached``, that is up
+    ``rows`` has item_id, quantity, the order columns and its slices. Everything that is ``reached``, that is up
     to the first request that does not fit, is decided.
     """
-    summed = running(rows.withColumn("_stock", stock), _ITEM, _ORDER, time_slice(F.col("ts")),
+    summed = running(rows.withColumn("_stock", stock), _ITEM, _ORDER, None,
                      {"_run": Running("sum", F.col("quantity").cast("long"))})
     served = F.col("_run") <= F.col("_stock")
     reached = F.col("_run") - F.col("quantity") <= F.col("_stock")
@@ -90,26 +90,27 @@ def decide_purchases(requests: DataFrame, inventory: DataFrame, export: DataFram
             "refusal", F.when(F.col("_token").isNull(), NO_SETTINGS).when(~F.col("_token"), NO_TOKEN))
     wanted = wanted.withColumn("linked", F.col("linked") & F.col("refusal").isNull())
     base = cut(wanted.select(*requests.columns, "external_stock_id", "local", "remote", "linked", "refusal"), "purchases")
-    live = base.where(F.col("linked"))
+    # Slices are found once: what is left of an item's requests in a later round is in the same ones.
+    live = place(base.where(F.col("linked")), _ITEM, _ORDER, time_slice(F.col("ts")))
     rest = base.where(~F.coalesce("linked", F.lit(False)))
 
     first, sold_first = _round(live, F.least("local", "remote"), "first-round")
     open_second = (first.where(~F.col("reached")).join(sold_first, _ITEM)
                    .withColumn("_left", F.col("remote") - F.col("_sold"))
                    .where(F.col("quantity") <= F.col("_left"))
-                   .select(*_ITEM, *_ORDER, "quantity", "_left"))
+                   .select(*_ITEM, *_ORDER, "quantity", "_left", SLICE))
     second, sold_second = _round(cut(open_second, "open"), F.col("_left"), "second-round")
     open_third = (second.where(~F.col("reached")).join(sold_second, _ITEM)
                   .withColumn("_left", F.col("_stock") - F.col("_sold"))
                   .where(F.col("quantity") <= F.col("_left"))
-                  .select(*_ITEM, *_ORDER, "quantity", "_left"))
+                  .select(*_ITEM, *_ORDER, "quantity", "_left", SLICE))
     winners = (second.where(F.col("served")).select(*_ITEM, "request_id")
                .unionByName(_serve_rest(open_third)).withColumn("_won", F.lit(True)))
 
     answered = (first.join(winners, [*_ITEM, "request_id"], "left")
                 .withColumn("served", F.col("served") | F.col("_won").isNotNull())
-                .select(*base.columns, "served", "reached"))
-    sold = running(cut(answered, "answers"), _ITEM, _ORDER, time_slice(F.col("ts")), {
+                .select(*base.columns, "served", "reached", SLICE))
+    sold = running(cut(answered, "answers"), _ITEM, _ORDER, None, {
         "_sold": Running("sum", F.when(F.col("served"), F.col("quantity")).otherwise(0).cast("long"), False)})
     before = F.when(F.col("reached"), F.col("local")).otherwise(F.col("remote")) - F.col("_sold")
     remote_now = F.col("remote") - F.col("_sold")
@@ -133,7 +134,7 @@ def decide_purchases(requests: DataFrame, inventory: DataFrame, export: DataFram
 
 def _serve_rest(candidates: DataFrame) -> DataFrame:
     """Item and request id of what is served from the last bit of stock."""
-    possible = numbered(cut(candidates, "last-stock"), ["item_id", "quantity"], _ORDER, time_slice(F.col("ts"))).where(
+    possible = numbered(cut(candidates, "last-stock"), ["item_id", "quantity"], _ORDER).where(
         F.col("position") * F.col("quantity") <= F.col("_left"))
     queue = F.array_sort(F.collect_list(F.struct("ts", "request_id", F.col("quantity").cast("long").alias("n"))))
     id_type = candidates.schema["request_id"].dataType.simpleString()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from stockline.operators import events, ledger, listings, products, telemetry
+from stockline.operators import events, ledger, listings, operations, products, telemetry
 
 
 def test_events_without_an_id_all_stay(spark):
@@ -40,3 +40,13 @@ def test_histogram_takes_all_values(spark):
     values = spark.range(3000).selectExpr("'m' as name", "'x' as label", "id as seq", "cast(id as double) as value",
                                           "current_timestamp() as ts")
     assert telemetry.histogram_stats(values, ["label"]).first()["count"] == 3000
+
+
+def test_two_requests_of_a_seller_start_one_import(spark):
+    settings = spark.createDataFrame([("u", True, "idle"), ("v", True, "active")], "user_id string, has_token boolean, sync_status string")
+    requests = spark.createDataFrame([("u", "b", False), ("u", "a", True), ("v", "c", False), ("v", "d", True), ("w", "e", True)],
+                                     "user_id string, operation_id string, force boolean")
+    got = {r.operation_id: (r.allowed, r.reason) for r in operations.start_guard(requests, settings).collect()}
+    busy = "sync in progress: initial_sync"
+    assert got == {"a": (True, None), "b": (False, busy), "c": (False, "sync in progress: active"), "d": (True, None),
+                   "e": (False, "settings not found")}
