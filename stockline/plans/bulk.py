@@ -32,7 +32,8 @@ def match_inventory(products: DataFrame, inventory: DataFrame) -> DataFrame:
 def classify_export(export: DataFrame, resolved: DataFrame, inventory: DataFrame,
                     excluded: Sequence[str] = p.EXCLUDED_SOURCES) -> DataFrame:
     """One row per product with its ``outcome``: created, updated or one of three skips."""
-    matched = match_inventory(map_to_catalog(prepare_products(export), resolved), inventory)
+    # Matched first: the rows already lie by item, as the last one of each was looked for.
+    matched = map_to_catalog(match_inventory(prepare_products(export), inventory), resolved)
     outcome = (F.when(F.col("table_name").isNull(), "skip_unmapped")
                .when(F.col("table_name").isin(list(excluded)), "skip_excluded")
                .when(F.col("item_id").isNotNull(), "updated").otherwise("created"))

@@ -86,10 +86,12 @@ def run_import(spark: SparkSession, export_path: str, catalog_path: str, invento
     rows = readers.read_export(spark, export_path, multiline=multiline)
     if sellers is not None:
         rows = rows.join(sellers.select("user_id").distinct(), "user_id", "left_semi")
-    export = cut(rows, "export")
+    used = ["user_id", "id", "blueprint_id", "quantity", "price_cents", "properties_hash"]
+    export = cut(rows.select(*used, "seq"), "export")
     work = _Work.on(inventory_path, export)
     resolved = resolve_catalog(readers.read_catalog(spark, catalog_path))
-    outcomes = cut(bulk.classify_export(chunk_index(export), resolved, work.inventory), "outcomes")
+    classified = bulk.classify_export(chunk_index(export), resolved, work.inventory)
+    outcomes = cut(classified.select(*used, "chunk", "outcome"), "outcomes")
     chunks = cut(bulk.chunk_summary(outcomes), "chunks")
     created = chunks.agg(F.sum("created")).first()[0] or 0
     first_id = snapshots.take_ids(spark, inventory_path, created) if created else 0
