@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.functions import properties as props
 from stockline.functions.quality import strip
+from stockline.session import cut
 
 PATCH_FIELDS = ["quantity", "price_cents", "description", "user_data_field", "graded", "properties"]
 MAX_DESCRIPTION = 5000
@@ -53,61 +56,102 @@ def collapse_patches(patches: DataFrame, order: str) -> DataFrame:
         *key, *plain, F.when(F.col("_has_properties"), text).alias("properties"))
 
 
-def _with_patch(inventory: DataFrame, patches: DataFrame, how: str) -> DataFrame:
-    """Items with their patch. Two patches of an item stop the job, as nothing tells which is the later
+def _single(patches: DataFrame) -> DataFrame:
+    """One patch per item. Two patches of an item stop the job, as nothing tells which is the later
     one: ``collapse_patches`` makes one of them first."""
     key = ["item_id", "user_id"]
     single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(
         F.lit("several patches of item "), F.max(F.col("item_id").cast("string")))).cast("boolean"))
-    patches = (patches.groupBy(*key).agg(*[F.first(f).alias(f) for f in PATCH_FIELDS], single.alias("_several"))
-               .where(F.col("_several").isNull()))
-    renamed = patches.select(F.col("item_id").alias("id"), "user_id",
-                             *[F.col(f).alias(f"patch_{f}") for f in PATCH_FIELDS], F.lit(True).alias("_patched"))
+    return (patches.groupBy(*key).agg(*[F.first(f).alias(f) for f in PATCH_FIELDS], single.alias("_several"))
+            .where(F.col("_several").isNull()))
+
+
+def _with_patch(inventory: DataFrame, patches: DataFrame, how: str) -> DataFrame:
+    """Items with their patch."""
+    renamed = _single(patches).select(F.col("item_id").alias("id"), "user_id",
+                                      *[F.col(f).alias(f"patch_{f}") for f in PATCH_FIELDS], F.lit(True).alias("_patched"))
     return inventory.join(renamed, ["id", "user_id"], how)
 
 
-def apply_patches(inventory: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """The inventory after one patch per item: given fields replace, properties merge key by key,
-    and ``updated_at`` always moves."""
-    joined = _with_patch(inventory, patches, "left")
-    touched = F.col("_patched").isNotNull()
+def place_patches(inventory: DataFrame, patches: DataFrame, place: Callable[[DataFrame], DataFrame],
+                  within: list[str]) -> DataFrame:
+    """All items, each with its patch, where ``place`` puts them: items and patches go there together, so that rows which
+    are wanted in that order anyway are not moved once more for the join.
+
+    ``place`` adds the columns ``within``, which follow from id and user_id wherever both are given, and brings rows that
+    agree in them to one task.
+    """
+    kind = dict(inventory.dtypes)
+    fields = F.struct(*PATCH_FIELDS).alias("_patch")
+    # Nothing is a patch of an item that has no id or no seller.
+    named = _single(patches.where(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())).select(
+        F.col("item_id").cast(kind["id"]).alias("id"), F.col("user_id").cast(kind["user_id"]).alias("user_id"), fields)
+    together = place(inventory.withColumn("_item", F.lit(True)).unionByName(named, allowMissingColumns=True))
+    patch = F.first("_patch", ignorenulls=True).over(Window.partitionBy(*within, "id", "user_id"))
+    return (together.withColumn("_patch", patch).where("_item")
+            .select(*inventory.columns, *within, *[F.col("_patch")[f].alias(f"patch_{f}") for f in PATCH_FIELDS],
+                    F.when(F.col("_patch").isNotNull(), F.lit(True)).alias("_patched")))
+
+
+def patched(joined: DataFrame, now: Column) -> DataFrame:
+    """Items that stand beside their patch, after it."""
     changed = {f: F.coalesce(F.col(f"patch_{f}"), F.col(f)) for f in PATCH_FIELDS if f != "properties"}
     changed["properties"] = F.when(
         F.col("patch_properties").isNotNull(),
         props.merge_properties(F.col("properties"), F.col("patch_properties"))).otherwise(F.col("properties"))
-    changed["updated_at"] = F.when(touched, now).otherwise(F.col("updated_at"))
-    return joined.withColumns(changed).select(*inventory.columns)
+    changed["updated_at"] = F.when(F.col("_patched").isNotNull(), now).otherwise(F.col("updated_at"))
+    return joined.withColumns(changed).drop("_patched", *[f"patch_{f}" for f in PATCH_FIELDS])
 
 
-def detect_changes(inventory: DataFrame, patches: DataFrame) -> DataFrame:
-    """What each patch changes, and whether it must be sent out.
+def apply_patches(inventory: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
+    """The inventory after one patch per item: given fields replace, properties merge key by key,
+    and ``updated_at`` always moves."""
+    return patched(_with_patch(inventory, patches, "left"), now).select(*inventory.columns)
 
-    A partial property patch differs from the stored properties and so always counts as a change;
-    ``effective_change`` tells whether the merged item really differs.
-    """
-    joined = _with_patch(inventory, patches, "inner")
 
+def change_flags() -> dict[str, Column]:
+    """What the patch that stands beside an item changes, and whether the item must be sent out."""
     def differs(field: str) -> Column:
         return F.col(f"patch_{field}").isNotNull() & ~F.col(f"patch_{field}").eqNullSafe(F.col(field))
 
     flags = {f"{f}_changed": differs(f) for f in PATCH_FIELDS if f not in ("properties", "price_cents")}
     flags["price_changed"] = differs("price_cents")
     old = F.coalesce(props.canonical_json(F.col("properties")), F.lit("{}"))
-    patched = F.col("patch_properties").isNotNull()
-    flags["properties_changed"] = patched & (old != props.canonical_json(F.col("patch_properties")))
+    has_properties = F.col("patch_properties").isNotNull()
+    flags["properties_changed"] = has_properties & (old != props.canonical_json(F.col("patch_properties")))
     merged = props.canonical_json(props.merge_properties(F.col("properties"), F.col("patch_properties")))
-    any_changed = F.lit(False)
-    for flag in flags:
-        any_changed = any_changed | F.col(flag)
-    plain_changed = F.lit(False)
-    for flag in flags:
-        if flag != "properties_changed":
-            plain_changed = plain_changed | F.col(flag)
+    any_changed = plain_changed = F.lit(False)
+    for name, flag in flags.items():
+        any_changed = any_changed | flag
+        if name != "properties_changed":
+            plain_changed = plain_changed | flag
     linked = F.coalesce(strip(F.col("external_stock_id")) != "", F.lit(False))
-    return (joined.withColumns(flags)
-            .withColumn("effective_change", plain_changed | F.coalesce(patched & (old != merged), F.lit(False)))
-            .select("id", "user_id", "external_stock_id", *flags, "effective_change",
-                    (linked & any_changed).alias("sync_needed")))
+    return {**flags, "effective_change": plain_changed | F.coalesce(has_properties & (old != merged), F.lit(False)),
+            "sync_needed": linked & any_changed}
+
+
+def detect_changes(inventory: DataFrame, patches: DataFrame) -> DataFrame:
+    """What each patch changes, and whether it must be sent out.
+
+    A partial property patch differs from the stored properties and so always counts as a change;
+    ``effective_change`` tells whether the merged item really differs.
+    """
+    flags = change_flags()
+    return _with_patch(inventory, patches, "inner").withColumns(flags).select(
+        "id", "user_id", "external_stock_id", *flags)
+
+
+def due_items(edited: DataFrame) -> DataFrame:
+    """Of items with ``sync_needed``, those to be sent out: they need it, or another row with their id does.
+
+    Only ids are moved to find ids that stand on rows of both kinds.
+    """
+    needed = F.coalesce(F.col("sync_needed"), F.lit(False))
+    both = cut(edited.groupBy("id").agg(F.max(needed).alias("_some"), F.min(needed).alias("_all"))
+               .where(F.col("_some") & ~F.col("_all")).select("id"), "repeated")
+    if both.isEmpty():
+        return edited.where(needed)
+    return edited.where(needed).unionByName(edited.where(~needed).join(both, "id", "left_semi"))
 
 
 def broken_properties(inventory: DataFrame, patches: DataFrame) -> DataFrame:

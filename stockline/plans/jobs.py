@@ -13,7 +13,7 @@ import functools
 import random
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +74,9 @@ class _Work:
     def outbox(self, path: str, kind: str) -> str:
         return f"{path}/{kind}={self.base.version + 1}/owner={self.owner}"
 
+    def write(self, placed: DataFrame, notes: Sequence[str] = ()) -> snapshots.Written:
+        return snapshots.write_buckets(placed, self.path, self.base, self.buckets, self.owner, True, notes)
+
     def store(self, inventory: DataFrame) -> snapshots.Snapshot:
         return snapshots.replace_buckets(inventory, self.path, self.base, self.buckets, self.owner)
 
@@ -186,17 +189,22 @@ def run_edits(spark: SparkSession, patches: DataFrame, inventory_path: str, outb
               order: str = "seq") -> DataFrame:
     """Apply all valid patches and queue the items that must be sent out; returns refused patches.
 
+    Items and patches go once to the tasks that write the buckets; what must be sent out is noted there and read back.
     Items whose stored properties are no JSON object keep them (``edits.broken_properties`` lists those
     patches).
     """
     checked = cut(edits.validate_patch(patches), "patches")
-    valid = edits.collapse_patches(checked.where(F.size("errors") == 0), order)
-    work = _Work.on(inventory_path, valid)
-    changes = edits.detect_changes(work.inventory, valid)
-    edited = cut(edits.apply_patches(work.inventory, valid, _now()), "edited")
-    due = edited.join(changes.where("sync_needed").select("id"), "id", "left_semi")
+    accepted = checked.where(F.size("errors") == 0)
+    work = _Work.on(inventory_path, accepted)
+    place = snapshots.placing(work.base, work.inventory, accepted)
+    joined = edits.place_patches(work.inventory, edits.collapse_patches(accepted, order), place,
+                                 [snapshots.BUCKET, snapshots.SLICE])
+    needed = edits.change_flags()["sync_needed"]
+    written = work.write(edits.patched(joined.withColumn("sync_needed", needed), _now()), notes=["sync_needed"])
+    edited = written.read(spark, f"{schemas.INVENTORY}, sync_needed boolean")
+    due = edits.due_items(edited)
     writers.write_outbox(writers.update_outbox(edits.build_update_payload(due)), work.outbox(outbox_path, "update"))
-    work.store(edited)
+    snapshots.name_version(spark, written)
     return checked.where(F.size("errors") > 0)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +26,9 @@ from stockline.sources import files
 
 BUCKETS = 256
 BUCKET = "_bucket"
+SLICE = "_slice"
+#: Rows of a bucket that lie together where a job places rows itself, and rows of one of its tasks.
+SLICE_ROWS, TASK_ROWS = 100_000, 200_000
 #: Versions that may be named by others while a job tries to name its own.
 RACES = 1000
 
@@ -124,13 +127,39 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, version: int | No
     return read_buckets(spark, path, snapshot(spark, path, version), schema, buckets)
 
 
-def _write(inventory: DataFrame, path: str, folder: str, buckets: int) -> tuple[dict[int, str], int]:
-    """Write rows in the stored schema; returns the buckets that have rows and the highest item id."""
+def placing(base: Snapshot, *frames: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to bring rows (id, user_id) of as many as are in ``frames`` to the tasks that write their buckets.
+
+    Columns ``BUCKET`` and ``SLICE`` are added. A bucket is cut by item id into slices, so that a large seller is
+    written by several tasks; tasks grow in number with the rows. Rows without an id are dealt by all they hold.
+    """
+    spark, rows = frames[0].sparkSession, {}
+    for frame in frames:  # at most as many counts as there are buckets
+        for bucket, n in frame.groupBy(base.bucket().alias(BUCKET)).count().collect():
+            rows[bucket] = rows.get(bucket, 0) + n
+    slices = spark.createDataFrame([(b, -(-n // SLICE_ROWS)) for b, n in sorted(rows.items())], f"{BUCKET} int, _slices int")
+    tasks = max(1, -(-sum(rows.values()) // TASK_ROWS))
+
+    def place(frame: DataFrame) -> DataFrame:
+        plain = [F.col(n) for n, kind in frame.dtypes if n != "id" and not kind.startswith(("struct", "map"))]
+        number = F.coalesce(F.xxhash64(F.col("id")), F.lit(0))
+        dealt = F.when(F.col("id").isNull(), F.xxhash64(*plain)).otherwise(number)
+        return (frame.withColumn(BUCKET, base.bucket()).join(F.broadcast(slices), BUCKET, "left")
+                .withColumn(SLICE, F.pmod(dealt, F.coalesce("_slices", F.lit(1)))).drop("_slices")
+                .repartition(tasks, BUCKET, SLICE))
+    return place
+
+
+def _write(inventory: DataFrame, path: str, folder: str, buckets: int, placed: bool = False,
+           notes: Sequence[str] = ()) -> tuple[dict[int, str], int]:
+    """Write rows in the stored schema, and the columns ``notes`` beside it; returns the buckets that have rows and the
+    highest item id. ``placed`` rows (``placing``) are written by the tasks that have them."""
     spark = inventory.sparkSession
     stored = spark.createDataFrame([], schemas.INVENTORY).schema
-    rows = inventory.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.fields])
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.fields] + [F.col(n) for n in notes]
     # Rebalanced, so that a large seller is written by several tasks and small ones share a task.
-    dealt = rows.withColumn(BUCKET, bucket_of(buckets)).hint("rebalance", F.col(BUCKET))
+    dealt = (inventory.select(*kept, BUCKET) if placed else
+             inventory.select(*kept).withColumn(BUCKET, bucket_of(buckets)).hint("rebalance", F.col(BUCKET)))
     dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{folder}")
     there = [int(n.split("=")[1]) for n in files.names(spark, f"{path}/{folder}") if n.startswith(f"{BUCKET}=")]
     paths = [f"{path}/{folder}/{BUCKET}={b}" for b in there]
@@ -164,17 +193,39 @@ def write_inventory(inventory: DataFrame, path: str, version: int, owner: str =
         files.overwrite(spark, name, _text(record))
 
 
-def replace_buckets(rows: DataFrame, path: str, base: Snapshot, touched: Sequence[int], owner: str = "") -> Snapshot:
-    """Put ``rows``, all rows of the ``touched`` buckets, in the place of what ``base`` has there.
+@dataclass(frozen=True)
+class Written:
+    """Buckets that are written and belong to no version yet."""
 
-    What other jobs have done to other buckets since ``base`` stays; if they changed one of these, ``VersionTaken`` is
-    raised and nothing is changed.
-    """
-    spark = rows.sparkSession
+    path: str
+    base: Snapshot
+    touched: Sequence[int]
+    owner: str
+    folders: dict[int, str]
+    largest: int
+
+    def read(self, spark: SparkSession, schema: str) -> DataFrame:
+        return read_buckets(spark, self.path, replace(self.base, folders=self.folders), schema)
+
+
+def write_buckets(rows: DataFrame, path: str, base: Snapshot, touched: Sequence[int], owner: str = "",
+                  placed: bool = False, notes: Sequence[str] = ()) -> Written:
+    """Write ``rows``, all rows of the ``touched`` buckets. Nobody sees them before ``name_version``. Columns ``notes``
+    are stored beside the schema for the job itself; readers of versions pass over them."""
     owner = owner or uuid.uuid4().hex
-    folders, largest = _write(rows, path, f"data/{base.version}-{owner}", base.buckets)
+    folders, largest = _write(rows, path, f"data/{base.version}-{owner}", base.buckets, placed, notes)
     if not set(folders) <= set(touched):
         raise ValueError(f"rows of other buckets: {sorted(set(folders) - set(touched))}")
+    return Written(path, base, touched, owner, folders, largest)
+
+
+def name_version(spark: SparkSession, written: Written) -> Snapshot:
+    """Put written buckets in the place of what their ``base`` has there.
+
+    What other jobs have done to other buckets since ``base`` stays; if they changed one of these, ``VersionTaken`` is
+    raised and nothing is changed.
+    """
+    path, base, touched = written.path, written.base, written.touched
     for _ in range(RACES):
         top = newest(spark, path)
         moved = [b for b in touched if top.folders.get(b) != base.folders.get(b)]
@@ -182,8 +233,13 @@ def replace_buckets(rows: DataFrame, path: str, base: Snapshot, touched: Sequenc
             raise VersionTaken(f"{path}: buckets {moved} have changed since version {base.version}")
         kept = {b: f for b, f in top.folders.items() if b not in set(touched)}
         # Numbers whose file was never finished are passed over.
-        record = replace(top, version=max(_versions(spark, path)) + 1, owner=owner,
-                         last_id=max(largest, top.last_id), folders={**kept, **folders})
+        record = replace(top, version=max(_versions(spark, path)) + 1, owner=written.owner,
+                         last_id=max(written.largest, top.last_id), folders={**kept, **written.folders})
         if files.create(spark, f"{path}/versions/{record.version}.json", _text(record)):
             return record
     raise VersionTaken(f"{path}: other jobs were faster {RACES} times")
+
+
+def replace_buckets(rows: DataFrame, path: str, base: Snapshot, touched: Sequence[int], owner: str = "") -> Snapshot:
+    """Write ``rows``, all rows of the ``touched`` buckets, and name the version that has them."""
+    return name_version(rows.sparkSession, write_buckets(rows, path, base, touched, owner))

@@ -4,11 +4,14 @@ import glob
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
+from stockline import schemas
 from stockline.functions.quality import canonical_uuid
 from stockline.plans import jobs, order_flow
 from stockline.registry import flows
 from stockline.session import configure
+from stockline.sources import snapshots
 from stockline.streaming import stock as st
 from stockline.streaming.fold_log import MOST_BUCKETS, FoldLog
 
@@ -104,3 +107,90 @@ def test_uuids_in_their_normal_form_stay(spark):
     forms = [USER, USER.upper(), "{" + USER + "}", f"urn:uuid:{USER}", USER.replace("-", ""), USER + "\n", USER[:-1], "", None]
     rows = spark.createDataFrame([(f,) for f in forms], "t string").select(canonical_uuid(F.col("t"))).collect()
     assert [r[0] for r in rows] == [USER] * 5 + [USER + "\n", None, None, None]
+
+
+PATCH = ("item_id long, user_id string, quantity int, price_cents int, description string, user_data_field string, "
+         "graded boolean, properties string, seq int")
+
+
+def stored_items(spark, path, rows):
+    """Rows of id, user_id, quantity."""
+    items = [(i, user, 1, quantity, 100, '{"condition":"NM"}', str(k), None, None, None, None, None)
+             for k, (i, user, quantity) in enumerate(rows)]
+    snapshots.write_inventory(spark.createDataFrame(items, schemas.INVENTORY), path, 1, buckets=4)
+
+
+def quantity_patches(spark, rows):
+    return spark.createDataFrame([(i, user, quantity, None, None, None, None, None, 1) for i, user, quantity in rows], PATCH)
+
+
+def exchanges(node, column):
+    """Shuffles in a physical plan that carry a column."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        return exchanges(node.initialPlan(), column)
+    names = [node.output().apply(k).name() for k in range(node.output().size())]
+    own = node.nodeName() == "Exchange" and column in names
+    return own + sum(exchanges(node.children().apply(k), column) for k in range(node.children().size()))
+
+
+def test_an_edit_moves_the_inventory_once(spark, tmp_path, monkeypatch):
+    path, found = str(tmp_path / "inventory"), []
+    stored_items(spark, path, [(n, f"seller-{n % 9}", 5) for n in range(90)])
+    patches = quantity_patches(spark, [(n, f"seller-{n % 9}", 7) for n in range(0, 90, 10)])
+
+    def seen(write):
+        def run(self, *args, **kwargs):
+            found.append(exchanges(self._df._jdf.queryExecution().executedPlan(), "external_stock_id"))
+            return write(self, *args, **kwargs)
+        return run
+
+    for name in ("parquet", "json"):
+        monkeypatch.setattr(DataFrameWriter, name, seen(getattr(DataFrameWriter, name)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with patches too large to be sent to all tasks
+    try:
+        jobs.run_edits(spark, patches, path, str(tmp_path / "outbox"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(found) == 1
+    got = {r.id: r.quantity for r in snapshots.read_snapshot(spark, path, schemas.INVENTORY).collect()}
+    assert got == {n: 5 if n % 10 else 7 for n in range(90)}
+    assert sorted(r.item_id for r in spark.read.json(f"{tmp_path}/outbox/update=2").collect()) == list(range(0, 90, 10))
+
+
+def test_an_edit_of_repeated_and_missing_keys(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    stored_items(spark, path, [(1, "u", 5), (1, "u", 6), (1, "v", 5), (2, "u", 6), (3, "u", 5), (4, None, 5), (4, None, 5),
+                               (None, "u", 5), (None, "u", 5), (None, None, 5)])
+    jobs.run_edits(spark, quantity_patches(spark, [(1, "u", 6), (2, "u", 6), (3, "v", 9), (4, None, 9), (None, "u", 9),
+                                                   (None, None, 9), (5, "u", 9)]), path, str(tmp_path / "outbox"))
+    rows = snapshots.read_snapshot(spark, path, schemas.INVENTORY).collect()
+    assert sorted(((r.id or 0, r.user_id or "", r.quantity, r.updated_at is not None) for r in rows)) == [
+        (0, "", 5, False), (0, "u", 5, False), (0, "u", 5, False), (1, "u", 6, True), (1, "u", 6, True), (1, "v", 5, False),
+        (2, "u", 6, True), (3, "u", 5, False), (4, "", 5, False), (4, "", 5, False)]
+    # One of the rows with id 1 has changed: all of them are sent.
+    sent = spark.read.json(f"{tmp_path}/outbox/update=2").collect()
+    assert sorted((r.item_id, r.user_id) for r in sent) == [(1, "u"), (1, "u"), (1, "v")]
+
+
+def test_an_edit_writes_a_large_seller_by_several_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "inventory")
+    stored_items(spark, path, [(n, "u", 5) for n in range(200)] + [(None, "u", n) for n in range(200)])
+    monkeypatch.setattr(snapshots, "SLICE_ROWS", 25, raising=False)
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 25, raising=False)
+    jobs.run_edits(spark, quantity_patches(spark, [(n, "u", 6) for n in range(200)]), path, str(tmp_path / "outbox"))
+    after = snapshots.read_snapshot(spark, path, schemas.INVENTORY)
+    assert len(after.inputFiles()) > 4
+    assert sorted(r.quantity for r in after.where("id IS NOT NULL").collect()) == [6] * 200
+    assert sorted(r.quantity for r in after.where("id IS NULL").collect()) == list(range(200))
+    spread = after.where("id IS NULL").groupBy(F.input_file_name()).count().collect()
+    assert len(spread) > 4  # rows without an id are not all one task's
+
+
+@pytest.mark.parametrize("name", ["edit_job", "delete_job"])
+def test_requests_come_from_the_stored_inventory(spark, monkeypatch, name):
+    derived = []
+    real = flows.fx.full_inventory
+    monkeypatch.setattr(flows.fx, "full_inventory", lambda *args: derived.append(1) or real(*args))
+    assert flows.QUERIES[name][0](spark, SF_DIR).count() > 0
+    assert len(derived) == 1
