@@ -131,19 +131,32 @@ def brute_code(gram):
     return sum(ord(c) << 21 * k for k, c in enumerate(gram))
 
 
+class PlainWindows:
+    """In the place of landmarks: an example is its window's letter codes."""
+
+    @staticmethod
+    def sums(stream):
+        return stream
+
+    map = sums
+
+
 def test_example_windows_reach_the_end_of_a_text():
     for n in (9, 12, 15, 16, 100):
         text = ". ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(n))
+        windows = [letter_stream(w).astype("float32").tobytes() for w in text.split(". ")]
+        telling = frozenset(stem for _, of in toxicity.places(text) for stem in of)
         for label in (0, 1):
-            telling = frozenset(s for w in text.split(". ") for s in toxicity.stems(w))
             batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([label], pa.int32())], ["text", "label"])
-            found = [e for b in toxicity._example_windows(telling)(iter([batch])) for e in b["example"].to_pylist()]
-            windows = [letter_stream(w).astype("uint8").tobytes() for w in text.split(". ")]
-            places = [windows.index(e) for e in found]
+            examples = toxicity._examples(PlainWindows, telling)(iter([batch]))
+            found = [e for b in examples for e in b["example"].to_pylist()]
+            if label:  # every telling word
+                assert found == windows
+                continue
+            places = [windows.index(e) for e in found[1:]]  # the first one stands for the whole text
             assert len(places) == 8 and places[0] == 0 and places[-1] == n - 1
             steps = [b - a for a, b in zip(places, places[1:], strict=False)]
             assert min(steps) >= 1 and max(steps) - min(steps) <= 1
-    assert toxicity.spread([], 8) == [] and toxicity.spread(["a", "b"], 8) == ["a", "b"]
 
 
 def test_profiles_and_distances_match_brute_force(spark):
