@@ -72,6 +72,36 @@ def test_export_files_grow_in_number(spark, monkeypatch):
     assert seen[0] > 8
 
 
+@pytest.mark.parametrize("name", ["read_export_all", "import_job", "import_lifecycle"])
+def test_sellers_share_export_files(spark, monkeypatch, name):
+    """Twenty times the sellers: not a folder and not a file more, and each row keeps its seller."""
+    files, exports = [], []
+
+    def rows(sellers):
+        return spark.range(200).select(
+            F.when(F.col("id") > 3, F.col("id") % sellers).alias("user_id"), F.col("id"), F.lit(5).alias("blueprint_id"),
+            F.lit(2).alias("quantity"), F.lit(9).alias("price_cents"), F.lit(None).cast("string").alias("description"),
+            F.lit(None).cast("string").alias("user_data_field"), F.lit(True).alias("graded"),
+            F.lit("{}").alias("properties_hash"), F.col("id").alias("seq"))
+
+    def read(_, path, **__):
+        files.append(len([f for f in glob.glob(f"{path}/**", recursive=True) if not f.endswith("_SUCCESS")]))
+        exports.append(real(spark, path, multiline=False).select("user_id", "id").distinct().collect())
+        raise Stop
+
+    real = flows.rd.read_export
+    monkeypatch.setattr(flows.rd, "read_export", read)
+    for sellers in (5, 100):
+        monkeypatch.setattr(flows.fx, "full_export", lambda *_, n=sellers: rows(n))
+        if name == "import_lifecycle":  # it answers for a failed import
+            flows.import_lifecycle(spark, SF_DIR)
+        else:
+            with pytest.raises(Stop):
+                flows.QUERIES[name][0](spark, SF_DIR)
+        assert {(r.user_id, r.id) for r in exports[-1]} == {(str(i % sellers) if i > 3 else None, i) for i in range(200)}
+    assert files[1] <= files[0] + 4
+
+
 def test_an_import_carries_only_what_it_uses(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(jobs, "cut", lambda frame, _: seen.extend(frame.columns) or stop())
