@@ -2,6 +2,7 @@
 
 import json
 
+from stockline.operators import events as ev
 from stockline.session import stream_session
 from stockline.sources import readers
 from stockline.streaming import sinks
@@ -45,3 +46,10 @@ def test_no_trigger_goes_without_data(spark, tmp_path):
     query.awaitTermination()
     assert seen == [2]
 
+
+def test_a_batch_reads_its_feed_once(spark, tmp_path):
+    feed(tmp_path / "feed", ["a", "a", None, None, "unknown"])
+    feed(tmp_path / "feed", ["a"], "other")
+    kept = ev.dedupe_events(readers.read_order_events(spark, str(tmp_path / "feed"), stream=False))
+    assert scans(kept) == 1
+    assert sorted(r.id for r in kept.collect()) == ["a", "a", "unknown", "unknown", "unknown"]
