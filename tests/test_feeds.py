@@ -1,9 +1,12 @@
 """A feed is read once, however events are told apart."""
 
 import json
+import os
+
+from pyspark.sql import functions as F
 
 from stockline.operators import events as ev
-from stockline.session import stream_session
+from stockline.session import cut, stream_session
 from stockline.sources import readers
 from stockline.streaming import sinks
 from stockline.streaming import stock as st
@@ -53,3 +56,17 @@ def test_a_batch_reads_its_feed_once(spark, tmp_path):
     kept = ev.dedupe_events(readers.read_order_events(spark, str(tmp_path / "feed"), stream=False))
     assert scans(kept) == 1
     assert sorted(r.id for r in kept.collect()) == ["a", "a", "unknown", "unknown", "unknown"]
+
+
+def test_nothing_shuffled_stays_after_a_query(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for folder in manager.localDirsString() for _, _, names in os.walk(folder) for name in names
+                if name.startswith("shuffle_")}
+
+    before = shuffled()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    assert cut(rows, "groups").count() == 7
+    assert sorted(rows.collect()) == sorted(rows.collect())
+    assert not shuffled() - before
