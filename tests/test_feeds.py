@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from stockline.operators import events as ev
-from stockline.session import cut, stream_session
+from stockline.session import configure, cut, stream_session
 from stockline.sources import readers
 from stockline.streaming import sinks
 from stockline.streaming import stock as st
@@ -70,3 +70,17 @@ def test_nothing_shuffled_stays_after_a_query(spark):
     assert cut(rows, "groups").count() == 7
     assert sorted(rows.collect()) == sorted(rows.collect())
     assert not shuffled() - before
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    session, context = spark.newSession(), spark.sparkContext
+    configure(session)
+    session.range(200).selectExpr("id", "id % 100 AS b").write.partitionBy("b").parquet(str(tmp_path / "rows"))
+    context.setJobGroup("listing", "")
+    try:
+        session.read.schema("id long").parquet(*[f"{tmp_path}/rows/b={k}" for k in range(100)])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and sum(tracker.getStageInfo(s).numTasks for s in stages) <= 32
